@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup
+from . import decontaminate, neardup, packing, quality, secrets
 from .session import read
 
 
@@ -10,9 +10,21 @@ def op4_simhash_neardup(spark, sf_dir):
     return neardup.groups(read(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark, sf_dir):
+    return packing.packed(read(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark, sf_dir):
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark, sf_dir):
     return decontaminate.shared_spans(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_neardup, op8_decontaminate)}
+def op9_quality_classifier(spark, sf_dir):
+    return quality.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op4_simhash_neardup, op5_best_fit_packing, op6_secret_scan, op8_decontaminate, op9_quality_classifier)}
 ORACLES = {"op8_decontaminate": decontaminate.ORACLE}

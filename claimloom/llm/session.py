@@ -22,11 +22,17 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{ROOT}:{path}" if path else ROOT
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where there is none, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -34,6 +40,13 @@ def fits(rows: int, width: int, budget: int = BROADCAST_BYTES) -> bool:
     return rows * width <= budget
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of docs whose key is not in ids. The ids are broadcast when their count allows, else both sides shuffle.
 

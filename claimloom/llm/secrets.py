@@ -59,6 +59,8 @@ def samples(words: list[str], n: int = SAMPLES, seed: int = 17) -> tuple[list[st
             else:
                 name += str(rng.randint(0, 10**18)) if rng.random() < 0.7 else "-_="[rng.randrange(3)] * MIN_LENGTH
         names.append(name)
+    rng.shuffle(keys)  # so that every kind is among those held out
+    rng.shuffle(names)
     return keys, names
 
 

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup, packing, quality, secrets
+from . import chat, decontaminate, knn, langid, licenses, neardup, packing, quality, secrets, urlfilter
 from .session import read
 
 
+def op1_chat_format(spark, sf_dir):
+    return chat.formatted(read(spark, sf_dir, "conversations"))
+
+
+def op2_language_id(spark, sf_dir):
+    return langid.identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op4_simhash_neardup(spark, sf_dir):
     return neardup.groups(read(spark, sf_dir, "documents"))
 
@@ -18,6 +30,10 @@ def op6_secret_scan(spark, sf_dir):
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op7_voronoi_knn(spark, sf_dir):
+    return knn.neighbours(read(spark, sf_dir, "embeddings"))
+
+
 def op8_decontaminate(spark, sf_dir):
     return decontaminate.shared_spans(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -26,5 +42,13 @@ def op9_quality_classifier(spark, sf_dir):
     return quality.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_neardup, op5_best_fit_packing, op6_secret_scan, op8_decontaminate, op9_quality_classifier)}
-ORACLES = {"op8_decontaminate": decontaminate.ORACLE}
+def op10_url_filter(spark, sf_dir):
+    return urlfilter.filtered(read(spark, sf_dir, "pages"))
+
+
+_ALL = (
+    op1_chat_format, op2_language_id, op3_license_scan, op4_simhash_neardup, op5_best_fit_packing,
+    op6_secret_scan, op7_voronoi_knn, op8_decontaminate, op9_quality_classifier, op10_url_filter,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES = {"op7_voronoi_knn": knn.ORACLE, "op8_decontaminate": decontaminate.ORACLE}

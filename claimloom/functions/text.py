@@ -182,7 +182,7 @@ def repeats(tokens: Column) -> Column:
     return total
 
 
-def slug(text: Column, n: int = 80, default: str = "youtube-video") -> Column:
+def slug(text: Column, n: int = 80, default: str = "video") -> Column:
     """A file name: letters, digits, Hangul, dots, underscores and hyphens, white space as hyphens."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[^0-9A-Za-z가-힣._\s-]+|[\t\n\r\f\x0B]+", "")
     t = F.btrim(F.regexp_replace(strip(t), r"(?U)\s+", "-"), F.lit(".-_"))

@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from . import lexicon as lx
 
-EDGE = " \t\r\n.,!?;:\"'`~()[]{}<>…·‥。、，？！；：「」『』“”‘’《》〈〉．"
+EDGE = '\t\n\r !"\'(),.:;<>?[]`{}~·‘’“”‥…、。〈〉《》「」『』！，．：；？'
 CLOSERS = "\"'”’)]》』」"
 TERMINAL = ".?!。！？…"
-EXPANSIONS = (
-    (("water", "saving", "percent", "guarantee"), ("water", "saving")),
-    (("probe", "drift", "maintenance", "cost"), ("maintenance", "reliability")),
-    (("yield", "software", "soil", "cause", "prove"), ("yield", "causality")),
-    (("policy", "adoption"), ("policy", "adoption")),
+EXPANSIONS = tuple(
+    (tuple(sorted(a.split())), tuple(b.split()))
+    for a, b in (("guarantee percent saving water", "water saving"), ("cost drift maintenance probe", "maintenance reliability"), ("cause prove soil software yield", "yield causality"), ("adoption policy", "policy adoption"))
 )
 LABELS = (
     ("water_saving", "Water-savings claim"),
@@ -70,7 +68,7 @@ def claim_tokens(text: Column) -> Column:
     """Normalised words: synonyms, one suffix rule, synonyms again; without stop words and words under three characters."""
     t = strip(F.lower(text))
     t = F.regexp_replace(F.regexp_replace(t, r"\btwenty percent\b", "20 percent"), r"\bper cent\b", "percent")
-    raw = F.filter(F.split(F.regexp_replace(t, r"[^a-z0-9가-힣%]+", " "), " "), lambda x: x != "")
+    raw = F.filter(F.split(F.regexp_replace(t, "[^%0-9a-z가-힣]+", " "), " "), lambda x: x != "")
     held = lx.pairs("synonym")
     table = F.map_from_arrays(lx.array(list(held)), lx.array(list(held.values())))
     mapped = lambda x: F.coalesce(F.element_at(table, x), x)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text as tx
 
-SPLIT = r"(?U)(?<=[.!?。！？])\s+|(?<=[다요죠음])\s+(?=[가-힣A-Z])"
+STOPS, KOREAN_ENDS, STARTS = "!.?。！？", "다요음죠", "A-Z가-힣"
+SPLIT = f"(?U)(?<=[{STOPS}])\\s+|(?<=[{KOREAN_ENDS}])\\s+(?=[{STARTS}])"
 MIN_CHARS = 6
 CONTINUES = ("그", "바로", "이런", "주요", "이러한", "또 다른")
 CAUTION = "but|drift|however|maintenance|omit|누락|충돌|did not mention|not discussed|not guaranteed".split("|")
@@ -21,7 +22,7 @@ PROMOTION = "benefit|can cut|case study|claims|improve|says it can|vendor says|
 ROLES = {"claim_or_promotion": "supporting_or_promotional", "caution_or_counterpoint": "challenging_or_limiting", "hypothesis_or_alternative": "alternative_explanation"}
 VISUAL = "chart|dashboard|map|on screen|screen|slide|table".split("|")
 HIGH_STAKES = "20 percent|deadline|guarantee|policy|subsidy|twenty percent".split("|")
-GATES = ("asr", "ocr_vision", "speaker_diarization", "external_verification", "strong_model_review")
+GATES = tuple("asr ocr_vision speaker_diarization external_verification strong_model_review".split())
 MODALITIES = {"caption": "caption|captions|subtitle|subtitles|transcript", "asr": "asr|audio", "ocr": "ocr|screen_text", "vision": "vision|visual", "scene": "scene|shot", "speaker": "diarization|speaker|speaker_diarization", "mixed": "mixed|multimodal"}
 LEGACY = {"fact": "video_internal", "interpretation": "inference", "uncertainty": "unclear", "memory/context": "external", "unsupported/needs_review": "unclear", "unsupported/needs-review": "unclear"}
 
@@ -68,7 +69,7 @@ def epistemic_axis(text: Column, hint: Column) -> Column:
 
 
 def spoken_tokens(text: Column) -> Column:
-    return F.filter(F.transform(tx.pieces(text), lambda t: F.lower(F.regexp_replace(t, r"(?U)^[\W_]+|[\W_]+$", ""))), lambda t: t != "")
+    return F.filter(F.transform(tx.pieces(text), lambda t: F.lower(F.regexp_replace(t, r"(?U)^(?:\W|_)+|(?:\W|_)+$", ""))), lambda t: t != "")
 
 
 def aside(text: Column) -> Column:
@@ -198,7 +199,7 @@ def records(claims: DataFrame) -> DataFrame:
 
 
 def evidence_records(recs: DataFrame) -> DataFrame:
-    return recs.select("evidence_id", "video_id", "timestamp_start", "timestamp_end", "time_ref", "speaker", "speaker_confidence", F.array("modality").alias("modality"), "text", "confidence", "source_separation")
+    return recs.select("video_id", "evidence_id", "time_ref", "timestamp_start", "timestamp_end", "speaker", "speaker_confidence", F.array("modality").alias("modality"), "text", "confidence", "source_separation")
 
 
 def need_gate_summary(recs: DataFrame) -> DataFrame:

@@ -10,7 +10,14 @@ from ..functions import text as tx
 
 CONFIDENCE = ("high", "medium", "low")
 BLOCKING = ("important_claim_without_time_anchor", "high_risk_claim_without_caution", "external_knowledge_in_video_internal_summary", "final_report_created_with_failed_gate")
-LEAKS = (("C:\\Users\\", "windows_user_path"), ("@gmail.com", "private_email"), ("OPENAI_API_KEY", "api_key_reference"), ("pilot_runs", "private_pilot_reference"), ("browser session", "session_reference"), ("refresh_token", "token_reference"), ("access_token", "token_reference"), ("bearer_token", "token_reference"), ("cookie", "cookie_reference"))
+LEAKS = tuple(
+    (pattern, label)
+    for label, patterns in {
+        "api_key_reference": ["OPENAI_API_KEY"], "cookie_reference": ["cookie"], "private_email": ["@gmail.com"], "private_pilot_reference": ["pilot_runs"],
+        "session_reference": ["browser session"], "token_reference": [f"{x}_token" for x in ("access", "bearer", "refresh")], "windows_user_path": ["C:\\Users\\"],
+    }.items()
+    for pattern in patterns
+)
 KEYS = tuple(a + b for a in ("api_key", "API_KEY") for b in ("=", ":")) + ('"api_key"', "'api_key'")
 LIMITATIONS = ("synthetic_fixture_only", "caption_fragment_claim_risk", "not fact-checked", "not truth-ranked")
 FLAGS = ("truth_ranking_performed", "fact_check_performed", "source_artifact_mutated", "topic_collection_mutated", "vkr_mutated", "canonical_pointer_changed")
@@ -178,8 +185,8 @@ def request_issues(requests: DataFrame) -> DataFrame:
     return requests.select(*_rows(["request_id"], [tool, *asks]))
 
 
-OVERLAY_FIELDS = ("ok", "schema_version", "topic_id", "overlay_status", "overlay_group_count", "overlay_groups", "limitations", "policy")
-GROUP_FIELDS = ("overlay_group_id", "source_group_id", "split_axis", "claim_count", "truth_status", "fact_check_status", "allowed_for_model_answer")
+OVERLAY_FIELDS = "limitations ok overlay_group_count overlay_groups overlay_status policy schema_version topic_id".split()
+GROUP_FIELDS = "allowed_for_model_answer claim_count fact_check_status overlay_group_id source_group_id split_axis truth_status".split()
 
 
 def overlay_issues(overlays: DataFrame, private: list[str] = ()) -> DataFrame:

@@ -45,25 +45,30 @@ def array(items) -> Column:
     return F.array(*(F.lit(x) for x in items)) if len(items) else F.array().cast("array<string>")
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with the value computed once, however often f uses it (lambdas would compute it at every call)."""
+    return F.transform(F.array(value), f)[0]
+
+
 def hits(text: Column, items: list[str]) -> Column:
-    """The markers that match, in order."""
-    low = F.lower(text)
-    return F.filter(array(items), lambda m: F.contains(text, m) | F.contains(low, m))
+    """The markers that match, in order. One without capitals matches the text only if it matches the lower-cased one; one with capitals never matches that."""
+    if all(m == m.lower() for m in items):
+        return bound(F.lower(text), lambda low: F.filter(array(items), lambda m: F.contains(low, m)))
+    return bound(F.struct(text.alias("t"), F.lower(text).alias("low")), lambda x: F.filter(array(items), lambda m: F.contains(x["low"], m) | F.contains(x["t"], m)))
 
 
 def any_of(text: Column, items: list[str]) -> Column:
     """Whether some marker stands in a text. Case must have been folded by the caller where it doesn't count."""
-    return F.exists(array(items), lambda m: F.contains(text, m))
+    return bound(text, lambda t: F.exists(array(items), lambda m: F.contains(t, m)))
 
 
 def best(text: Column, lexicon: str) -> Column:
     """struct(n, label, hits) of the label with the most matches; of equal ones the first. n is 0 if nothing matches."""
-    found = [
-        F.struct(F.size(h).alias("n"), F.lit(-i).alias("order"), F.lit(label).alias("label"), h.alias("hits"))
-        for i, label in enumerate(labels(lexicon))
-        for h in [hits(text, markers(lexicon, label))]
-    ]
-    return F.array_max(F.array(*found))
+
+    def row(i: int, label: str):
+        return lambda h: F.struct(F.size(h).alias("n"), F.lit(-i).alias("order"), F.lit(label).alias("label"), h.alias("hits"))
+
+    return F.array_max(F.array(*(bound(hits(text, markers(lexicon, label)), row(i, label)) for i, label in enumerate(labels(lexicon)))))
 
 
 def by_label(key: Column, lexicon: str, default: str | None = None) -> Column:

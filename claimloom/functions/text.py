@@ -95,9 +95,12 @@ def canonical(tokens: Column) -> Column:
 
 def token_set(tokens: Column, content_type: Column) -> Column:
     """Sorted distinct tokens with those that they imply, and the content type unless it is `other` or empty."""
-    more = [F.when(F.arrays_overlap(tokens, lx.array(a)), lx.array(b)).otherwise(lx.array([])) for a, b in EXPANSIONS]
     kind = F.when((F.coalesce(content_type, F.lit("")) != "") & (content_type != "other"), F.array(content_type)).otherwise(lx.array([]))
-    return F.array_sort(F.array_distinct(F.concat(tokens, *more, kind)))
+
+    def implied(t: Column) -> Column:
+        return F.concat(t, *(F.when(F.arrays_overlap(t, lx.array(a)), lx.array(b)).otherwise(lx.array([])) for a, b in EXPANSIONS))
+
+    return F.array_sort(F.array_distinct(F.concat(lx.bound(tokens, implied), kind)))
 
 
 def words(text: Column) -> Column:
@@ -120,8 +123,8 @@ def blend(both: Column, a: Column, b: Column) -> Column:
 
 def group_key(tokens: Column, content_type: Column) -> Column:
     """`topic_` and the four most frequent tokens, earlier ones first; the content type or generic_claim without tokens."""
-    ranked = F.transform(F.array_distinct(tokens), lambda t: F.struct((-F.size(F.filter(tokens, lambda x: x == t))).alias("n"), F.array_position(tokens, t).alias("at"), t.alias("t")))
-    top = F.transform(F.slice(F.array_sort(ranked), 1, 4), lambda x: x["t"])
+    rank = lambda all_: F.transform(F.array_distinct(all_), lambda t: F.struct((-F.size(F.filter(all_, lambda x: x == t))).alias("n"), F.array_position(all_, t).alias("at"), t.alias("t")))
+    top = F.transform(F.slice(F.array_sort(lx.bound(tokens, rank)), 1, 4), lambda x: x["t"])
     kind = F.when((F.coalesce(content_type, F.lit("")) != "") & (content_type != "other"), content_type).otherwise("generic_claim")
     return F.when(F.size(tokens) == 0, kind).otherwise(F.concat(F.lit("topic_"), F.array_join(top, "_")))
 
@@ -136,10 +139,11 @@ def group_label(key: Column) -> Column:
 
 def ends_sentence(text: Column) -> Column:
     """Whether a cue closes a sentence: by its last mark, or by a Korean ending of its last word."""
-    t = F.regexp_replace(text, r"(?U)\s+$", "")
-    last = F.rtrim(F.regexp_extract(t, r"(?U)(\S+)$", 1), F.lit(CLOSERS))
-    tail = lambda label: F.exists(lx.array(lx.markers("ending", label)), lambda m: F.endswith(last, m))
-    return F.when(t == "", False).when(F.array_contains(lx.array(list(TERMINAL)), F.right(t, F.lit(1))), True).otherwise(tail("strong") | tail("polite") | (F.endswith(last, F.lit("다")) & ~tail("not_final")))
+    last = lambda t: F.rtrim(F.regexp_extract(t, r"(?U)(\S+)$", 1), F.lit(CLOSERS))
+    tail = lambda word, label: F.exists(lx.array(lx.markers("ending", label)), lambda m: F.endswith(word, m))
+    korean = lambda w: tail(w, "strong") | tail(w, "polite") | (F.endswith(w, F.lit("다")) & ~tail(w, "not_final"))
+    closes = lambda t: F.when(t == "", False).when(F.array_contains(lx.array(list(TERMINAL)), F.right(t, F.lit(1))), True).otherwise(lx.bound(last(t), korean))
+    return lx.bound(F.regexp_replace(text, r"(?U)\s+$", ""), closes)
 
 
 def edge_trim(word: Column) -> Column:

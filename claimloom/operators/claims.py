@@ -29,43 +29,51 @@ LEGACY = {"fact": "video_internal", "interpretation": "inference", "uncertainty"
 
 def sentences(text: Column) -> Column:
     """Sentences of six characters or more, those after a continuing word appended to the one before; never none of a text."""
-    whole = tx.strip(F.coalesce(text, F.lit("")))
-    parts = F.filter(F.transform(F.split(whole, SPLIT), tx.strip), lambda x: F.length(x) >= MIN_CHARS)
+    ends = lambda x: F.exists(lx.array(CONTINUES), lambda s: F.endswith(x, s))
 
     def add(done: Column, x: Column) -> Column:
         last = F.element_at(done, -1)
-        goes_on = (F.size(done) > 0) & F.exists(lx.array(CONTINUES), lambda s: F.endswith(last, s))
         joined = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, F.lit(" "), x)))
-        return F.when(goes_on, joined).otherwise(F.concat(done, F.array(x)))
+        return F.when((F.size(done) > 0) & ends(last), joined).otherwise(F.concat(done, F.array(x)))
 
-    merged = F.when(F.exists(parts, lambda x: F.exists(lx.array(CONTINUES), lambda s: F.endswith(x, s))), F.aggregate(parts, F.array().cast("array<string>"), add)).otherwise(parts)
-    return F.when(whole == "", lx.array([])).when(F.size(merged) == 0, F.array(whole)).otherwise(merged)
+    def merged(parts: Column) -> Column:
+        return F.when(F.exists(parts, ends), F.aggregate(parts, F.array().cast("array<string>"), add)).otherwise(parts)
+
+    def split(whole: Column) -> Column:
+        parts = F.filter(F.transform(F.split(whole, SPLIT), tx.strip), lambda x: F.length(x) >= MIN_CHARS)
+        return F.when(whole == "", lx.array([])).otherwise(lx.bound(parts, lambda p: F.when(F.size(p) == 0, F.array(whole)).otherwise(merged(p))))
+
+    return lx.bound(tx.strip(F.coalesce(text, F.lit(""))), split)
 
 
 def split_claims(segments: DataFrame, presplit: bool = True, prefix: str = "C") -> DataFrame:
     """One row a sentence (or a segment, if not presplit), numbered through each video: claim_ord, claim_id, text."""
     whole = tx.strip(F.coalesce("text", F.lit("")))
     found = sentences(F.col("text")) if presplit else F.when(whole == "", lx.array([])).otherwise(F.array(whole))
-    rows = segments.select(*(c for c in segments.columns if c != "text"), F.posexplode(found).alias("frag_ord", "text"))
+    rows = segments.select(*(c for c in segments.columns if c != "text"), F.posexplode_outer(found).alias("frag_ord", "text")).where("text is not null")
     n = F.row_number().over(Window.partitionBy("video_id").orderBy("seg_ord", "frag_ord"))
     return rows.withColumn("claim_ord", n).withColumn("claim_id", F.concat(F.lit(prefix), F.lpad(F.col("claim_ord").cast("string"), F.greatest(F.lit(4), F.length(F.col("claim_ord").cast("string"))), F.lit("0")))).drop("frag_ord")
 
 
 def content_axis(text: Column) -> Column:
     """struct(n, label, hits): the content type with most markers, the first of equal ones; `other` without any."""
-    b = lx.best(text, "content")
-    return F.struct(b["n"].alias("n"), F.when(b["n"] > 0, b["label"]).otherwise("other").alias("label"), F.when(b["n"] > 0, b["hits"]).otherwise(lx.array([])).alias("hits"))
+    row = lambda b: F.struct(b["n"].alias("n"), F.when(b["n"] > 0, b["label"]).otherwise("other").alias("label"), F.when(b["n"] > 0, b["hits"]).otherwise(lx.array([])).alias("hits"))
+    return lx.bound(lx.best(text, "content"), row)
 
 
 def epistemic_axis(text: Column, hint: Column) -> Column:
     """struct(evidence, confidence, hits): unclear before inference, external and internal wording; else by the hint."""
     confidence = {"unclear": "low", "inference": "medium", "external": "medium", "video_internal": "high"}
     row = lambda e, c, h: F.struct(F.lit(e).alias("evidence"), F.lit(c).alias("confidence"), h.alias("hits"))
-    out = F.when(F.lit(False), row("", "", lx.array([])))
-    for label in lx.labels("evidence"):
-        h = lx.hits(text, lx.markers("evidence", label))
-        out = out.when(F.size(h) > 0, row(label, confidence[label], h))
-    return out.when(hint.isin("external_pack", "external"), row("external", "medium", lx.array([]))).otherwise(row("video_internal", "medium", lx.array([])))
+    found = F.struct(*(lx.hits(text, lx.markers("evidence", label)).alias(label) for label in lx.labels("evidence")))
+
+    def first(h: Column) -> Column:
+        out = F.when(F.lit(False), row("", "", lx.array([])))
+        for label in lx.labels("evidence"):
+            out = out.when(F.size(h[label]) > 0, row(label, confidence[label], h[label]))
+        return out.when(hint.isin("external_pack", "external"), row("external", "medium", lx.array([]))).otherwise(row("video_internal", "medium", lx.array([])))
+
+    return lx.bound(found, first)
 
 
 def spoken_tokens(text: Column) -> Column:
@@ -74,23 +82,33 @@ def spoken_tokens(text: Column) -> Column:
 
 def aside(text: Column) -> Column:
     """struct(type, score, markers): remarks off the record, then unformed thoughts; hesitation only counts with others or often."""
-    h = {label: lx.hits(text, lx.markers("aside", label)) for label in ("strong", "weak", "risk_boundary", "hesitation_phrase", "hypothesis", "tangent")}
-    strong = F.when((h["strong"] == lx.array(["현장에서"])) & F.contains(text, F.lit("경제 현장에서의 문제")), lx.array([])).otherwise(h["strong"])
-    weak = F.when(F.array_contains(h["weak"], "사실은"), F.array_remove(h["weak"], "실은")).otherwise(h["weak"])
-    risk, thought = h["risk_boundary"], F.concat(h["hypothesis"], h["tangent"])
-    tokens, fillers = spoken_tokens(text), lx.array(lx.markers("aside", "hesitation_token"))
-    hesitation = F.concat(F.filter(fillers, lambda m: F.array_contains(tokens, m)), h["hesitation_phrase"])
-    often = F.size(F.filter(tokens, lambda t: F.array_contains(fillers, t))) >= 3
+    lists = ("strong", "weak", "risk_boundary", "hesitation_phrase", "hypothesis", "tangent")
+    found = F.struct(*(lx.hits(text, lx.markers("aside", label)).alias(label) for label in lists), spoken_tokens(text).alias("tokens"))
+    fillers = lx.array(lx.markers("aside", "hesitation_token"))
     n = F.size
-    counts = (often & (F.length(text) <= 90)) | ((n(hesitation) > 0) & (n(thought) > 0))
-    hes = F.when(counts, hesitation).otherwise(lx.array([]))
-    hidden = n(strong) * 2 + n(risk) * 2 + n(weak) + F.when(n(thought) > 0, 1).otherwise(0)
+
+    def parts(h: Column) -> Column:
+        strong = F.when((h["strong"] == lx.array(["현장에서"])) & F.contains(text, F.lit("경제 현장에서의 문제")), lx.array([])).otherwise(h["strong"])
+        weak = F.when(F.array_contains(h["weak"], "사실은"), F.array_remove(h["weak"], "실은")).otherwise(h["weak"])
+        hesitation = F.concat(lx.bound(h["tokens"], lambda t: F.filter(fillers, lambda m: F.array_contains(t, m))), h["hesitation_phrase"])
+        often = (n(F.filter(h["tokens"], lambda t: F.array_contains(fillers, t))) >= 3) & (F.length(text) <= 90)
+        thought = F.concat(h["hypothesis"], h["tangent"])
+        return F.struct(strong.alias("strong"), h["risk_boundary"].alias("risk"), weak.alias("weak"), thought.alias("thought"), hesitation.alias("hesitation"), often.alias("often"))
+
     row = lambda t, s, m: F.struct(F.lit(t).alias("type"), s.cast("int").alias("score"), m.alias("markers"))
-    return (
-        F.when((n(strong) > 0) | (n(risk) > 0) | (n(weak) >= 2), row("type1_hidden_info", F.greatest(hidden, F.lit(1)), F.concat(strong, risk, weak, thought)))
-        .when((n(thought) > 0) | counts, row("type2_unformed_thought", n(thought) * 2 + n(hes), F.concat(thought, hes)))
-        .otherwise(row("none", F.lit(0), lx.array([])))
-    )
+
+    def signal(p: Column) -> Column:
+        strong, risk, weak, thought = (p[x] for x in ("strong", "risk", "weak", "thought"))
+        counts = p["often"] | ((n(p["hesitation"]) > 0) & (n(thought) > 0))
+        hes = F.when(counts, p["hesitation"]).otherwise(lx.array([]))
+        hidden = n(strong) * 2 + n(risk) * 2 + n(weak) + F.when(n(thought) > 0, 1).otherwise(0)
+        return (
+            F.when((n(strong) > 0) | (n(risk) > 0) | (n(weak) >= 2), row("type1_hidden_info", F.greatest(hidden, F.lit(1)), F.concat(strong, risk, weak, thought)))
+            .when((n(thought) > 0) | counts, row("type2_unformed_thought", n(thought) * 2 + n(hes), F.concat(thought, hes)))
+            .otherwise(row("none", F.lit(0), lx.array([])))
+        )
+
+    return lx.bound(lx.bound(found, parts), signal)
 
 
 def classified(claims: DataFrame) -> DataFrame:
@@ -223,7 +241,10 @@ def ranked_asides(claims: DataFrame) -> DataFrame:
 
 def genre(text: Column, override: Column | None = None) -> Column:
     """struct(genre, risk_domain, score, markers, basis, sections) of a whole video's text, or of a valid override."""
-    b = lx.best(text, "genre")
+    return lx.bound(lx.best(text, "genre"), lambda b: _genre(b, override))
+
+
+def _genre(b: Column, override: Column | None) -> Column:
     found = F.when(b["n"] > 0, b["label"]).otherwise("other")
     forced = genre_name(override) if override is not None else F.lit(None).cast("string")
     known = list(lx.pairs("risk"))

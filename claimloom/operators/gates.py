@@ -32,7 +32,7 @@ def _any(text: Column, lexicon: str, label: str) -> Column:
 
 
 def _rows(keys: list, issues: list[Column]):
-    return [*keys, F.explode(F.array_compact(F.array(*issues))).alias("issue")]
+    return [*keys, F.explode_outer(F.array_compact(F.array(*issues))).alias("issue")]
 
 
 def package_issues(videos: DataFrame, claims: DataFrame) -> DataFrame:
@@ -43,13 +43,13 @@ def package_issues(videos: DataFrame, claims: DataFrame) -> DataFrame:
     blank = lambda c: tx.strip(F.coalesce(F.col(c), F.lit(""))) == ""
     head = videos.select(*_rows(["video_id", F.lit(None).cast("string").alias("claim_id")], [
         F.when(blank("language"), "language_empty"), F.when(tx.undecoded(F.col("title")), "title_undecoded"), F.when(blank("title"), "title_empty"), F.when(_no(F.col("schema_version")), "schema_version_missing"),
-    ]))
+    ])).where("issue is not null")
     at = Window.partitionBy("video_id", "claim_id").orderBy("claim_ord")
     known = lambda c, values: ~F.coalesce(F.col(c).isin(*values), F.lit(False))
     body = claims.withColumn("_n", F.row_number().over(at)).select(*_rows(["video_id", "claim_id"], [
         F.when(_no(F.col("claim_id")), "claim_id_missing").when(F.col("_n") > 1, "claim_id_repeated"), F.when(tx.undecoded(F.col("text")), "text_undecoded"),
         F.when(known("content_type", [*lx.labels("content"), "other"]), "content_type_invalid"), F.when(known("evidence", lx.labels("evidence")), "evidence_invalid"), F.when(known("confidence", CONFIDENCE), "confidence_invalid"),
-    ]))
+    ])).where("issue is not null")
     return head.unionByName(body)
 
 
@@ -127,7 +127,7 @@ def payload_issues(payloads: DataFrame) -> DataFrame:
             F.when(F.col("final_report_created") & (F.col("quality_gate_status") == "fail"), issue("final_report_created_with_failed_gate", severity="error")),
         )),
     )
-    rows = payloads.select("payload_id", F.posexplode(every).alias("issue_ord", "i"))
+    rows = payloads.select("payload_id", F.posexplode_outer(every).alias("issue_ord", "i")).where("i is not null")
     return rows.select("payload_id", "issue_ord", "i.severity", "i.code", "i.item", "i.blocking")
 
 
@@ -158,7 +158,7 @@ def leaks(lines: DataFrame, extra: list[str] = ()) -> DataFrame:
     for p in reversed(KEYS):
         key = F.when(F.contains("line", F.lit(p)), p).otherwise(key)
     found = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(p.lower())), hit(label, p)) for p, label in patterns), F.when(key.isNotNull(), F.struct(F.lit("api_key_assignment").alias("label"), key.alias("pattern")))))
-    return lines.select("path", "line_no", F.explode(found).alias("x")).select("path", "line_no", "x.label", "x.pattern")
+    return lines.select("path", "line_no", F.explode_outer(found).alias("x")).where("x is not null").select("path", "line_no", "x.label", "x.pattern")
 
 
 def answer_issues(answers: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def answer_issues(answers: DataFrame) -> DataFrame:
     low = F.lower(F.coalesce("text", F.lit("")))
     bad = [F.when(F.contains(low, F.lit(p.lower())), f"forbidden_phrase:{p}") for p in lx.markers("answer", "forbidden")]
     lacks = [F.when(~F.contains(low, F.lit(p.lower())), f"missing_required:{p}") for p in lx.markers("answer", "required")]
-    return answers.select(*_rows(["answer_id"], bad + lacks))
+    return answers.select(*_rows(["answer_id"], bad + lacks)).where("issue is not null")
 
 
 def answer_payload_issues(answers: DataFrame) -> DataFrame:
@@ -175,14 +175,14 @@ def answer_payload_issues(answers: DataFrame) -> DataFrame:
     said = F.lower(F.coalesce(F.array_join("limitations", " "), F.lit("")))
     bad = [F.when(F.contains(low, F.lit(p.lower())), f"forbidden_phrase:{p}") for p in lx.markers("answer", "forbidden")]
     lacks = [F.when(~F.contains(said, F.lit(p.lower())), f"missing_limitation:{p}") for p in lx.markers("answer", "limitation")]
-    return answers.select(*_rows(["answer_id"], bad + lacks))
+    return answers.select(*_rows(["answer_id"], bad + lacks)).where("issue is not null")
 
 
 def request_issues(requests: DataFrame) -> DataFrame:
     """request_id, issue for requests (request_id, tool, words array: all keys and values): tools not allowed, capabilities that none may ask for."""
     tool = F.when(~F.coalesce(F.col("tool").isin(lx.markers("policy", "tool")), F.lit(False)), F.concat(F.lit("tool_not_allowed:"), F.coalesce("tool", F.lit(""))))
     asks = [F.when(F.array_contains("words", c), f"forbidden_capability:{c}") for c in lx.markers("policy", "capability")]
-    return requests.select(*_rows(["request_id"], [tool, *asks]))
+    return requests.select(*_rows(["request_id"], [tool, *asks])).where("issue is not null")
 
 
 OVERLAY_FIELDS = "limitations ok overlay_group_count overlay_groups overlay_status policy schema_version topic_id".split()
@@ -221,7 +221,7 @@ def overlay_issues(overlays: DataFrame, private: list[str] = ()) -> DataFrame:
             *(F.when(F.contains(whole, F.lit(p)), f"private_marker_in_overlay:{p}") for p in private),
         )),
     )
-    return overlays.select("overlay_id", F.explode(every).alias("issue"))
+    return overlays.select("overlay_id", F.explode_outer(every).alias("issue")).where("issue is not null")
 
 
 def undecodable(files: DataFrame) -> DataFrame:

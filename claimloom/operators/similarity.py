@@ -19,14 +19,14 @@ DUPLICATE = 0.55
 
 def frequent(sets: DataFrame) -> DataFrame:
     """token, df of the tokens in at least one of FREQUENT sets (sets: tokens)."""
-    counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    counts = sets.select(F.explode_outer("tokens").alias("token")).where("token is not null").groupBy("token").agg(F.count("*").alias("df"))
     total = sets.select(F.count("*").alias("_n"))
     return counts.crossJoin(F.broadcast(total)).where(F.col("df") * FREQUENT >= F.col("_n")).select("token", "df")
 
 
 def prefixes(sets: DataFrame, common: DataFrame, t: float) -> DataFrame:
     """key, n, token: the tokens by which each set (key, tokens) has to be looked up for a Jaccard of t."""
-    exploded = sets.select("key", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    exploded = sets.select("key", F.size("tokens").alias("n"), F.explode_outer("tokens").alias("token")).where("token is not null")
     ranked = exploded.join(F.broadcast(common), "token", "left").select("key", "n", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token").alias("x"))
     ordered = ranked.groupBy("key", "n").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     keep = F.col("n") - F.ceil(F.col("n") * F.lit(t) - F.lit(1e-9)) + 1
@@ -66,7 +66,7 @@ def topic_pairs(claims: DataFrame, method: str = "normalized") -> DataFrame:
 
     claims: topic_id, claim_uid, topic_ord, token_set.
     """
-    side = claims.select("topic_id", "claim_uid", "topic_ord", F.size("token_set").alias("n"), F.explode("token_set").alias("token"))
+    side = claims.select("topic_id", "claim_uid", "topic_ord", F.size("token_set").alias("n"), F.explode_outer("token_set").alias("token")).where("token is not null")
     a, b = (side.select("topic_id", "token", F.col("claim_uid").alias(x), F.col("topic_ord").alias(f"{x}_ord"), F.col("n").alias(f"{x}_n")) for x in "ab")
     pairs = a.join(b, ["topic_id", "token"]).where("a_ord < b_ord").groupBy("topic_id", "a", "b", "a_ord", "b_ord", "a_n", "b_n").agg(F.count("*").alias("both"))
     both, an, bn = F.col("both"), F.col("a_n"), F.col("b_n")

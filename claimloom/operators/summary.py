@@ -14,10 +14,13 @@ FILLERS = ("네", "어", "음", "자")
 
 def score(text: Column, claim_id: Column, content_type: Column, confidence: Column, time_ref: Column, is_aside: Column, genre: Column) -> Column:
     """How well a claim would stand for its video; -1000 for a blank one."""
-    t = tx.squeeze(F.coalesce(text, F.lit("")))
-    low = F.lower(t)
+    line = lambda t: F.struct(t.alias("t"), F.lower(t).alias("low"), F.regexp_extract_all(F.lower(t), F.lit("([0-9A-Za-z가-힣]+)"), 1).alias("tokens"))
+    parts = lx.bound(tx.squeeze(F.coalesce(text, F.lit(""))), line)
+    return lx.bound(parts, lambda p: _score(p["t"], p["low"], p["tokens"], claim_id, content_type, confidence, time_ref, is_aside, genre))
+
+
+def _score(t: Column, low: Column, tokens: Column, claim_id: Column, content_type: Column, confidence: Column, time_ref: Column, is_aside: Column, genre: Column) -> Column:
     n = F.length(t)
-    tokens = F.regexp_extract_all(low, F.lit("([0-9A-Za-z가-힣]+)"), 1)
     give = lambda cond, x: F.when(cond, F.lit(float(x))).otherwise(F.lit(0.0))
     kind = F.coalesce(content_type, F.lit(""))
     by_genre = lambda lexicon, f, none: _by_genre(genre, lexicon, f, none)

@@ -1,7 +1,8 @@
 """Greedy clustering of claims in order, exact and distributed.
 
 A claim only ever joins a group through a pair at or above the threshold, so no group leaves a connected component of
-such pairs, and pairs below it cannot change a choice. The ordered fold runs on the pairs of each component alone.
+such pairs, and pairs below it cannot change a choice. The ordered fold runs on the pairs of each topic; where the largest
+topic has more than TOPIC_PAIRS of them, on those of each connected component instead, with the same result.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from .components import components
 from .similarity import topic_pairs
 
 THRESHOLDS = {"normalized": 0.20, "token_jaccard": 0.5}
+#: Pairs of a topic that one task folds at most, before topics are split into components.
+TOPIC_PAIRS = 500_000
 
 
-def clusters(claims: DataFrame, method: str = "normalized", threshold: float | None = None) -> DataFrame:
+def clusters(claims: DataFrame, method: str = "normalized", threshold: float | None = None, topic_pairs_most: int = TOPIC_PAIRS) -> DataFrame:
     """topic_id, claim_uid, topic_ord, cluster: the uid of the claim that opened the group.
 
     claims: topic_id, claim_uid, topic_ord (the order within the topic), token_set. normalized: a claim joins the group
@@ -34,8 +37,11 @@ def clusters(claims: DataFrame, method: str = "normalized", threshold: float | N
         star = empty.select("topic_id", F.col("claim_uid").alias("b"), F.col("topic_ord").alias("b_ord")).join(first, "topic_id").where("a_ord < b_ord")
         pairs = pairs.unionByName(star.select("topic_id", "a", "b", "a_ord", "b_ord", F.lit(1.0).alias("score")))
     pairs = saved(pairs)
-    parts = components(pairs)
-    grouped = pairs.join(parts.select("topic_id", F.col("node").alias("a"), "component"), ["topic_id", "a"])
+    largest = pairs.groupBy("topic_id").count().agg(F.max("count")).first()[0] or 0
+    if largest <= topic_pairs_most:
+        grouped = pairs.withColumn("component", F.lit(""))
+    else:
+        grouped = pairs.join(components(pairs).select("topic_id", F.col("node").alias("a"), "component"), ["topic_id", "a"])
     leaders_only = method == "token_jaccard"
 
     def fold(key: tuple, edges: pd.DataFrame) -> pd.DataFrame:

@@ -123,8 +123,14 @@ def blend(both: Column, a: Column, b: Column) -> Column:
 
 def group_key(tokens: Column, content_type: Column) -> Column:
     """`topic_` and the four most frequent tokens, earlier ones first; the content type or generic_claim without tokens."""
-    rank = lambda all_: F.transform(F.array_distinct(all_), lambda t: F.struct((-F.size(F.filter(all_, lambda x: x == t))).alias("n"), F.array_position(all_, t).alias("at"), t.alias("t")))
-    top = F.transform(F.slice(F.array_sort(lx.bound(tokens, rank)), 1, 4), lambda x: x["t"])
+
+    def rank(x: Column) -> Column:
+        # a token's count from its first and last place in the sorted array: native searches, no lambda in a lambda
+        count = lambda t: F.size(x["all"]) + 2 - F.array_position(x["up"], t) - F.array_position(x["down"], t)
+        return F.transform(F.array_distinct(x["all"]), lambda t: F.struct((-count(t)).alias("n"), F.array_position(x["all"], t).alias("at"), t.alias("t")))
+
+    views = lambda x: F.struct(x.alias("all"), F.array_sort(x).alias("up"), F.reverse(F.array_sort(x)).alias("down"))
+    top = F.transform(F.slice(F.array_sort(lx.bound(lx.bound(tokens, views), rank)), 1, 4), lambda x: x["t"])
     kind = F.when((F.coalesce(content_type, F.lit("")) != "") & (content_type != "other"), content_type).otherwise("generic_claim")
     return F.when(F.size(tokens) == 0, kind).otherwise(F.concat(F.lit("topic_"), F.array_join(top, "_")))
 

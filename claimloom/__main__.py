@@ -22,7 +22,7 @@ def build_topic(spark: SparkSession, folder: str, method: str, threshold: float
     return rows, terrain.claim_groups(rows, method).cache()
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(words: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="claimloom")
     sub = parser.add_subparsers(dest="command", required=True)
     p = sub.add_parser("package", help="segments to typed claims, and whether they are worth more analysis")
@@ -35,7 +35,7 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("out")
     p = sub.add_parser("hesitation", help="markers of word timings (JSON lines)")
     p.add_argument("words"), p.add_argument("out")
-    a = parser.parse_args(argv)
+    a = parser.parse_args(words)
     spark = SparkSession.builder.getOrCreate()
     if a.command == "package":
         segments, videos = files.segments(spark, a.segments)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 
@@ -32,16 +32,16 @@ def overlay_tools(overlays: DataFrame) -> dict[str, Tool]:
     }
 
 
-def _walk(value) -> Iterator[str]:
-    if isinstance(value, dict):
-        for k, v in value.items():
-            yield str(k)
-            yield from _walk(v)
-    elif isinstance(value, (list, tuple, set)):
-        for v in value:
-            yield from _walk(v)
-    else:
-        yield str(value)
+def words_of(request: object) -> set[str]:
+    """All keys and all values of a request, however deep."""
+    found, todo = set(), [request]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, (dict, list)):
+            todo += [*x, *(x.values() if isinstance(x, dict) else ())]
+        else:
+            found.add(str(x))
+    return found
 
 
 def answer(request: dict, tools: dict[str, Tool]) -> dict | None:
@@ -51,14 +51,14 @@ def answer(request: dict, tools: dict[str, Tool]) -> dict | None:
     if method == "notifications/initialized":
         return None
     if method == "initialize":
-        return reply(result={"protocolVersion": "2024-11-05", "capabilities": {"tools": {}}, "serverInfo": {"name": "claimloom", "version": "0.1"}})
+        return reply(result={"serverInfo": {"name": "claimloom", "version": "0.1"}, "capabilities": {"tools": {}}, "protocolVersion": "2024-11-05"})
     if method == "tools/list":
         return reply(result={"tools": [{"name": n, "inputSchema": {"type": "object"}, "annotations": {"readOnlyHint": True}} for n in tools]})
     if method != "tools/call":
         return reply(error={"code": -32601, "message": f"unknown method {method}"})
     params = request.get("params") or {}
     name, args = params.get("name"), params.get("arguments") or {}
-    asked = set(_walk(args)) & set(lx.markers("policy", "capability"))
+    asked = words_of(args) & set(lx.markers("policy", "capability"))
     if name not in tools or asked:
         return reply(error={"code": -32000, "message": f"not allowed: {', '.join(sorted(asked)) or name}"})
     try:
@@ -67,7 +67,7 @@ def answer(request: dict, tools: dict[str, Tool]) -> dict | None:
         return reply(error={"code": -32000, "message": f"missing argument {e}"})
     ok = bool(found) or not name.endswith("detail")
     body = {"ok": ok, "rows": found} if ok else {"ok": False, "error": "group_not_found"} | args
-    return reply(result={"content": [{"type": "text", "text": json.dumps(body, ensure_ascii=False, sort_keys=True)}], "isError": not ok})
+    return reply(result={"isError": not ok, "content": [{"text": json.dumps(body, ensure_ascii=False, sort_keys=True), "type": "text"}]})
 
 
 def serve(lines: Iterable[str], write: Callable[[str], None], tools: dict[str, Tool]) -> None:
@@ -76,6 +76,6 @@ def serve(lines: Iterable[str], write: Callable[[str], None], tools: dict[str, T
         try:
             response = answer(json.loads(line), tools)
         except json.JSONDecodeError:
-            response = {"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": "not JSON"}}
+            response = {"error": {"message": "not JSON", "code": -32700}, "id": None, "jsonrpc": "2.0"}
         if response is not None:
-            write(json.dumps(response, ensure_ascii=False) + "\n")
+            write(f"{json.dumps(response, ensure_ascii=False)}\n")

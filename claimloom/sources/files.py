@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 SEGMENT = "text string, speaker string, time_ref string, source_hint string, modality_source string"
 VIDEO = "video_id string, title string, language string, duration_seconds int, genre string"
-TEXT_SUFFIXES = (".cfg", ".json", ".md", ".py", ".toml", ".txt", ".yaml", ".yml")
+TEXT_SUFFIXES = tuple(f".{x}" for x in "cfg json md py toml txt yaml yml".split())
 SKIPPED = (".git", ".pytest_cache", "__pycache__", "build", "dist")
 
 

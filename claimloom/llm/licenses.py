@@ -34,6 +34,7 @@ NOTICES = (
     ("CC0-1.0", "dedicated to the public domain under CC0 1.0 Universal"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("Proprietary", "All rights reserved. No part of this publication may be reproduced"),
+    ("Proprietary", "All rights reserved"),
 )
 #: Characters of a notice for each edit that is allowed.
 CHARS_PER_EDIT = 12

@@ -1,4 +1,7 @@
 import random
+import re
+
+import pyarrow.parquet as pq
 
 from claimloom.llm import licenses as L
 
@@ -67,6 +70,16 @@ def test_spans_of_exact_notices_that_lie_close_together():
     assert [text[a:b] for a, b, _ in got] == [w, w, w.upper()] and all(e == 0 for _, _, e in got)
 
 
+def test_every_notice_line_of_the_documents_is_found():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    lines = {line for t in texts if t for line in t.split("\n") if re.search(r"(?i)licen[sc]e|rights reserved", line)}
+    assert "All rights reserved." in lines and len(lines) >= 5
+    for line in lines:
+        assert any(e == 0 for *_, e in L.find(f"some words\n{line}\nsome more")), line
+    assert {L.NOTICES[i][0] for i, *_ in L.find("x\nAll rights reserved.\ny")} == {"Proprietary"}
+    assert L.find("x\nall rigths reserved") == [] and L.find("All right reserved.")[0][3] == 1
+
+
 def test_edge_rows(spark):
     w = "Licensed under CC BY-NC 4.0"
     rows = [(1, None), (2, ""), (3, "x" * 300_000 + w), (4, w), (4, w), (None, "licensed\nunder CC BY NC 4.0."), (5, "nothing here")]

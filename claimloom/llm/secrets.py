@@ -2,13 +2,16 @@
 
 Candidates are runs of at least MIN_LENGTH letters, digits, +, /, _ and - (with up to two = after them). Both models
 are smoothed Markov chains of order 2 over characters, trained from labelled samples: strings drawn at random from the
-usual alphabets of keys, and ordinary identifiers made of the corpus's own words. A candidate is a secret when its
-log-likelihood ratio a character is above the threshold that held-out samples give.
+usual alphabets of keys, and ordinary identifiers made of the corpus's own words. A candidate holds a secret when some
+span of it, of at least MIN_LENGTH characters, has a log-likelihood ratio a character above the threshold that held-out
+samples give, so that ordinary characters around a key, as in a path or after a prefix, don't hide it. The secret is
+the span that exceeds the threshold by the greatest sum, moved to the separators around it.
 """
 
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -23,12 +26,19 @@ CANDIDATE = f"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}={{0,2}}"
 SAMPLE = 1500
 #: Samples of each class.
 SAMPLES = 20000
+#: Characters of every fourth ordinary sample: spans of long paths and names are held out as well.
+LONG = 64
 #: Share of the held-out ordinary samples that may lie above the threshold.
 FALSE_ALARMS = 0.0005
+#: A span whose sum falls by more than this inside is two secrets with ordinary characters between them. In random characters
+#: a fall this deep begins at a given place with a chance of exp(-BETWEEN) at most, as of any likelihood ratio.
+BETWEEN = 12.0
 MASK = "[SECRET]"
 
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 _KEYS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", _ALPHABET[:62], _ALPHABET[:64], "abcdefghijklmnopqrstuvwxyz0123456789")
+_PIECE = re.compile("[^/_-]+")
+_MIXED = re.compile("(?=.*[a-z])(?=.*[A-Z]).*[0-9]")
 _COMMON = "get set user name value index count data file path list item config handler request response service client server buffer cache queue index session parse build update delete create find total result error message content version module default max min test example http https www com org html page section article number table column record document source target license token key password access id".split()
 
 
@@ -40,7 +50,8 @@ def samples(words: list[str], n: int = SAMPLES, seed: int = 17) -> tuple[list[st
     for i in range(n):
         keys.append("".join(rng.choice(_KEYS[i % len(_KEYS)]) for _ in range(rng.randint(MIN_LENGTH, 64))))
         kind, name = i % 8, ""
-        while len(name) < MIN_LENGTH:
+        least = LONG if i // 8 % 4 == 0 else MIN_LENGTH
+        while len(name) < least:
             w = rng.choice(words)
             if kind == 0:
                 name += w
@@ -99,12 +110,75 @@ class Model:
         self.threshold = float(max(0.0, held[int(len(held) * (1 - false_alarms)) - 1]))
 
     def score(self, tokens: list[str]) -> np.ndarray:
-        """Log-likelihood ratio a character, random over ordinary."""
+        """Greatest log-likelihood ratio a character, random over ordinary, of the spans of MIN_LENGTH characters or more.
+
+        A span of twice that length or more has a half that is no worse, so longer ones needn't be tried. A shorter token is one span.
+        """
         if not tokens:
             return np.zeros(0)
         ctx, c = _codes(tokens)
         n = np.array([len(t) for t in tokens])
-        return np.add.reduceat(self.ratio[ctx, c], np.r_[0, np.cumsum(n)[:-1]]) / n
+        start = np.r_[0, np.cumsum(n)[:-1]]
+        total = np.r_[0.0, np.cumsum(self.ratio[ctx, c])]
+        left = np.repeat(start + n, n) - np.arange(len(c))  # characters from each place to the end of its token
+        best = np.full(len(c), -np.inf)
+        for size in range(MIN_LENGTH, min(2 * MIN_LENGTH, int(n.max()) + 1)):
+            at = np.flatnonzero(left >= size)
+            best[at] = np.maximum(best[at], (total[at + size] - total[at]) / size)
+        return np.where(n < MIN_LENGTH, (total[start + n] - total[start]) / n, np.maximum.reduceat(best, start))
+
+    def spans(self, token: str) -> list[tuple[int, int, float]]:
+        """(start, end, ratio a character) of the secrets in a token, in order; they don't overlap."""
+        ctx, c = _codes([token])
+        over = np.r_[0.0, np.cumsum(self.ratio[ctx, c] - self.threshold)]
+        pieces = [m.span() for m in _PIECE.finditer(token)]
+        out, todo = [], [(0, len(token), 0, len(token))]
+        while todo:
+            lo, hi, low, high = todo.pop()  # where to search, and how far a find may be widened
+            if hi - lo < MIN_LENGTH:
+                continue
+            least = np.minimum.accumulate(over[lo : hi - MIN_LENGTH + 1])
+            gain = over[lo + MIN_LENGTH : hi + 1] - least
+            end = int(gain.argmax())
+            if gain[end] <= 1e-9:
+                continue
+            a, b = lo + int(over[lo : lo + end + 1].argmin()), lo + MIN_LENGTH + end
+            fall = np.maximum.accumulate(over[a : b + 1]) - over[a : b + 1]
+            trough = a + int(fall.argmax())
+            peak = a + int(over[a : trough + 1].argmax())
+            if fall.max() > BETWEEN and max(peak - a, b - trough) >= MIN_LENGTH:
+                todo += [(lo, peak, low, trough), (trough, hi, peak, high)]
+                continue
+            score = float((over[b] - over[a]) / (b - a) + self.threshold)
+            a, b = _snapped(a, b, low, high, over, pieces, bool(_MIXED.match(token[a:b])))
+            out.append((a, b, score))
+            todo += [(lo, a, low, a), (b, hi, b, high)]
+        out.sort()
+        return [(max(a, out[i - 1][1]) if i else a, b, s) for i, (a, b, s) in enumerate(out)]
+
+
+def _snapped(a: int, b: int, lo: int, hi: int, over: np.ndarray, pieces: list[tuple[int, int]], mixed: bool) -> tuple[int, int]:
+    """The span from a to b, widened to whole pieces between separators where most of a piece is in it or looks random, and
+    without the few characters of an ordinary piece at its ends. Keys of mixed alphabets (base 64) may hold separators
+    themselves, so next to those the shortest pieces count as random."""
+    pieces = [(max(s, lo), min(e, hi)) for s, e in pieces if s < hi and e > lo]
+    random_looking = [over[e] > over[s] or mixed and e - s <= 3 for s, e in pieces]
+    shared = [min(e, b) - max(s, a) for s, e in pieces]
+    kept = [i for i, (s, e) in enumerate(pieces) if shared[i] > 0 and (random_looking[i] or shared[i] * 2 >= e - s or shared[i] >= MIN_LENGTH)]
+    if not kept:
+        return a, b
+    first, last = kept[0], kept[-1]
+    while first and random_looking[first - 1]:
+        first -= 1
+    while last + 1 < len(pieces) and random_looking[last + 1]:
+        last += 1
+
+    def whole(i):
+        return random_looking[i] or shared[i] * 2 >= pieces[i][1] - pieces[i][0]
+
+    start = pieces[first][0] if whole(first) else max(a, pieces[first][0])
+    end = pieces[last][1] if whole(last) else min(b, pieces[last][1])
+    return start, end
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -124,7 +198,7 @@ def _secrets(model) -> Column:
         score = m.score(tokens)
         out, a = [], 0
         for k in n:
-            out.append([{"secret": tokens[i], "score": float(score[i])} for i in range(a, a + k) if score[i] > m.threshold])
+            out.append([{"secret": tokens[i][x:y], "score": s} for i in range(a, a + k) if score[i] > m.threshold for x, y, s in m.spans(tokens[i])])
             a += k
         return pd.Series(out)
 

@@ -52,6 +52,38 @@ def test_held_out_rates():
     assert abs(m.score(["abcdefgh1234abcd"])[0] - m.score(["x" * 40, "abcdefgh1234abcd"])[1]) < 1e-9
 
 
+def key_of(rng, kind):
+    alphabet, n = [("0123456789abcdef", 40), ("0123456789abcdef", 32), (S._ALPHABET[:62], 32), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 20)][kind]
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+def test_keys_in_paths_and_names():
+    rows, _ = made(9)
+    words = sorted({w for _, t in rows for w in re.findall(r"\b[a-z]{4,}\b", t)})
+    m, rng = S.Model(*S.samples(words, 8000)), random.Random(31)
+    w = lambda: rng.choice(words)
+    for around in (lambda k: "/".join([w() for _ in range(5)] + [k] + [w() for _ in range(3)]), lambda k: f"{w()}_{w()}_token_{k}", lambda k: f"{w()}-{w()}-{k}/{w()}", lambda k: k):
+        for kind in range(4):
+            keys = [key_of(rng, kind) for _ in range(150)]
+            runs = [around(k) for k in keys]
+            score = m.score(runs)
+            found = [[r[a:b] for a, b, _ in m.spans(r)] if s > m.threshold else [] for r, s in zip(runs, score)]
+            assert sum(any(k in f for f in got) for k, got in zip(keys, found)) >= 0.95 * len(keys), (runs[0], kind)
+            assert sum(got == [k] for k, got in zip(keys, found)) >= 0.9 * len(keys), (runs[0], kind)
+    paths = ["/".join(w() for _ in range(9)) for _ in range(2000)]
+    assert (m.score(paths) > m.threshold).mean() < 0.01
+    two = [key_of(rng, 0), key_of(rng, 0)]
+    assert [f"{two[0]}/{'/'.join(words[:4])}/{two[1]}"[a:b] for a, b, _ in m.spans(f"{two[0]}/{'/'.join(words[:4])}/{two[1]}")] == two
+
+
+def test_masks_keys_in_paths_and_names(spark):
+    rows, _ = made(6)
+    key = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
+    rows += [(900, f"see srv/data/config/backup/{key}/index/file/list now"), (901, f"user_session_token_{key}")]
+    found = {r.doc_id: r.text for r in S.redact(docs_of(spark, rows)).where("doc_id >= 900").collect()}
+    assert found == {900: "see srv/data/config/backup/[SECRET]/index/file/list now", 901: "user_session_token_[SECRET]"}
+
+
 def test_edge_rows(spark):
     key = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
     rows, _ = made(5, 60)

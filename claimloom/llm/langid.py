@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import fits, prepare, saved
+from .session import BATCH_ROWS, attach, prepare, saved
 from .words import buffers, sliced, strings
 
 #: Labelled documents of each language that the text model is trained on at most, those with the least hash of their id.
@@ -28,6 +28,8 @@ BUCKETS = 1 << 16
 TEMPER = 0.3
 #: Pages that the prior one level up counts for.
 STRENGTH = 5.0
+#: A host is hot if one page of so many is its own; there are at most as many of them.
+HOT = 1000
 UNKNOWN = "und"
 
 
@@ -84,14 +86,51 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
     return TextModel([r.text for r in rows], [r.lang for r in rows])
 
 
-_HIDDEN = r"(?is)<(script|style|nav|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>"
-_DECLARED = r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b"
+_OPENING = re.compile(r"(?i)<(?:(script|style|nav|template)\b|(!--))?")
+_CLOSING = {n: re.compile(rf"(?i)</{n}\s*>") for n in ("script", "style", "nav", "template")}
+_DECLARED = r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b"
 _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 def visible(html: str | None) -> str:
-    """The text of a page without markup, scripts, styles and navigation."""
-    return re.sub(r"\s+", " ", entities.unescape(re.sub(_HIDDEN, " ", html or ""))).strip()
+    """The text of a page without markup, scripts, styles and navigation.
+
+    One scan forward: what closes no element or comment from some place on closes none after it either, and isn't looked for again.
+    """
+    html = html or ""
+    parts, at, never = [], 0, set()
+
+    def closed(mark: str, start: int) -> int:
+        """The place after the next closing mark, or -1."""
+        if mark in never:
+            return -1
+        if mark in _CLOSING:
+            m = _CLOSING[mark].search(html, start)
+            end = m.end() if m else -1
+        else:
+            end = html.find(mark, start)
+            end += len(mark) if end >= 0 else 0
+        if end < 0:
+            never.add(mark)
+        return end
+
+    search = _OPENING.search
+    m = search(html)
+    while m:
+        start, end = m.start(), -1
+        if m[1]:
+            end = closed(m[1].lower(), m.end())
+        elif m[2]:
+            end = closed("-->", m.end())
+        if end < 0:
+            end = closed(">", start + 1)
+        if end < 0:  # no tag ends from here on
+            break
+        parts.append(html[at:start])
+        at = end
+        m = search(html, end)
+    parts.append(html[at:])
+    return " ".join(entities.unescape(" ".join(parts)).split())
 
 
 def evidence(pages: DataFrame, model: TextModel) -> DataFrame:
@@ -99,14 +138,14 @@ def evidence(pages: DataFrame, model: TextModel) -> DataFrame:
     prepare(pages.sparkSession)
     held = pages.sparkSession.sparkContext.broadcast(model)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1))
-    rows = pages.select("page_id", host.alias("host"), F.regexp_replace(host, r"^.*?([^.]+\.[^.]+)$", "$1").alias("domain"), F.regexp_extract(host, r"\.([^.]+)$", 1).alias("suffix"), F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), _DECLARED, 1)).alias("declared"), "html")
+    rows = pages.select("page_id", host.alias("host"), F.substring_index(host, ".", -2).alias("domain"), F.regexp_extract(host, r"\.([^.]+)$", 1).alias("suffix"), F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), _DECLARED, 1)).alias("declared"), "html")
     out = T.StructType([*rows.schema.fields[:-1], T.StructField("ll", T.ArrayType(T.DoubleType())), T.StructField("best", T.IntegerType())])
 
     def run(batches):
         for batch in batches:
             m = held.value
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for a in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(a, BATCH_ROWS)
                 ll = m.score(strings(pa.array([visible(h) for h in part.column("html").to_pylist()], pa.string()))) * TEMPER
                 best = np.where(ll.max(1) > ll.min(1), ll.argmax(1), -1) if len(m.languages) else np.full(len(ll), -1)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1, dtype=np.int32) * ll.shape[1]), pa.array(ll.ravel()))
@@ -116,11 +155,7 @@ def evidence(pages: DataFrame, model: TextModel) -> DataFrame:
 
 
 def _counts(rows: DataFrame, key: str, n: int) -> DataFrame:
-    return saved(rows.groupBy(key).agg(F.array(*(F.sum((F.col("best") == i).cast("double")) for i in range(n))).alias(f"{key}_n")))
-
-
-def _attach(rows: DataFrame, counts: DataFrame, key: str, languages: int) -> DataFrame:
-    return rows.join(F.broadcast(counts) if fits(counts.count(), 100 + 8 * languages) else counts, key)
+    return saved(rows.groupBy(key).agg(F.array(*(F.sum((F.col("best") == i).cast("double")) for i in range(n))).alias(f"{key}_n"), F.count("*").alias(f"{key}_rows")))
 
 
 def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -129,7 +164,7 @@ def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFra
     pages: page_id, url, html; docs: doc_id, text, lang, to train on; other columns are ignored. A null or empty page has
     no text evidence (text_lang `und`) and a null URL the host ''; the rest decides, and of equal languages the first by
     name. Without training documents lang is `und` with a null p_lang. Rows that repeat each get a row; ids may be null.
-    Pages are read whole.
+    Pages are read whole, in one scan each, however broken their markup is.
     """
     model = train(docs, sample)
     names = model.languages
@@ -138,13 +173,13 @@ def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFra
         return rows.select("page_id", F.lit(UNKNOWN).alias("lang"), F.lit(None).cast("double").alias("p_lang"), F.lit(UNKNOWN).alias("text_lang"), "declared", "suffix")
     n = len(names)
     rows = rows.withColumn("declared_as", F.when(F.col("declared").isin(names), F.col("declared")).otherwise(F.when(F.col("declared") == "", "").otherwise("other")))
-    everything = rows.agg(*(F.sum((F.col("best") == i).cast("double")) for i in range(n))).first()
-    total = [float(x or 0) for x in everything]
+    *total, pages_in_all = rows.agg(*(F.sum((F.col("best") == i).cast("double")) for i in range(n)), F.count("*")).first()
+    total = [float(x or 0) for x in total]
     suffixes = None
     for key in ("host", "domain", "suffix", "declared_as"):
         counts = _counts(rows, key, n)
         suffixes = counts.count() if key == "suffix" else suffixes
-        rows = _attach(rows, counts, key, n)
+        rows = attach(rows, counts, [key], 100 + 8 * n, F.col(f"{key}_rows") * HOT >= pages_in_all)
     own = [(F.col("best") == i).cast("double") for i in range(n)]
     some = F.when(F.col("best") >= 0, 1.0).otherwise(0.0)
 

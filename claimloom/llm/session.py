@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -13,20 +14,30 @@ ROOT = str(Path(__file__).resolve().parents[2])
 #: A side is broadcast only when its counted rows times their width stay under this many bytes.
 BROADCAST_BYTES = 64 << 20
 
+#: Rows of an Arrow batch, where the session leaves Spark's own number (10,000 rows, whatever they hold): texts and pages are long.
+BATCH_ROWS, SPARK_BATCH_ROWS = 500, "10000"
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started from."""
+    """Let Python workers import this package wherever the driver was started from, and get batches that fit their memory."""
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH", "")
     if ROOT not in path.split(":"):
         env["PYTHONPATH"] = f"{ROOT}:{path}" if path else ROOT
+    if spark.conf.get(_ROWS) == SPARK_BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where there is none, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir. A temporary one serves a local session that names none, as in
+    tests; on a cluster that is an error, for its executors would write to their own disks."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
     return sc.getCheckpointDir()
 
 
@@ -47,6 +58,32 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def name(column: str) -> Column:
+    """A top-level column by its name, whatever characters stand in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def content(text: str = "text") -> Column:
+    """128 bits that stand for a text; null for a null one."""
+    return F.unhex(F.md5(name(text)))
+
+
+def attach(rows: DataFrame, side: DataFrame, keys: list[str], width: int, heavy: Column | None = None) -> DataFrame:
+    """rows left-joined with side, which has one row a key; the result is the same whichever way is taken.
+
+    A side whose counted rows fit is broadcast. A greater one is joined by shuffles, but its rows marked `heavy` (keys that many
+    rows share; there are few of them, and they are counted, too) go to the rows by a broadcast, so that no task gets a hot key.
+    """
+    if fits(side.count(), width):
+        return rows.join(F.broadcast(side), keys, "left")
+    if heavy is None or not fits(hot := side.where(heavy).count(), width) or not hot:
+        return rows.join(side, keys, "left")
+    hot_keys = F.broadcast(side.where(heavy).select(keys))
+    many = rows.join(hot_keys, keys, "left_semi").join(F.broadcast(side.where(heavy)), keys, "left")
+    few = rows.join(hot_keys, keys, "left_anti").join(side.where(~heavy), keys, "left")
+    return many.unionByName(few)
+
+
 def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of docs whose key is not in ids. The ids are broadcast when their count allows, else both sides shuffle.
 

@@ -83,6 +83,32 @@ def test_visible():
     assert L.visible('<html><style>p{}</style><NAV><a>no</a></NAV>a<!-- x > y --><b>b&amp;c</b>\n<script>"</p>"</script>') == "a b&c"
 
 
+def test_broken_pages_take_one_scan():
+    import time
+
+    began = time.process_time()
+    for bit in ("<script ", "<!-- ", "<nav></script", "< ", "<script>a</style", "<html ", "&amp;<"):
+        L.visible(bit * (1_000_000 // len(bit)))
+    assert time.process_time() - began < 10
+    hidden = re.compile(r"(?is)<(script|style|nav|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+    rng = random.Random(4)
+    bits = ["<", "<script", ">", "</script>", "<!--", "-->", "x", " ", "</NAV >", "<nav>", "<style a", "</style>", "<b"]
+    for _ in range(5000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert L.visible(page) == re.sub(r"\s+", " ", hidden.sub(" ", page)).strip()
+
+
+def test_hot_hosts_are_joined_alike(spark, monkeypatch):
+    from claimloom.llm import session
+
+    docs, pages, _ = made(3, 120)
+    want = {r.page_id: (r.lang, round(r.p_lang, 9)) for r in L.identify(*frames(spark, docs, pages)).collect()}
+    for budget, hot in ((0, 1000), (400, 3)):
+        monkeypatch.setattr(session.fits, "__defaults__", (budget,))
+        monkeypatch.setattr(L, "HOT", hot)
+        assert {r.page_id: (r.lang, round(r.p_lang, 9)) for r in L.identify(*frames(spark, docs, pages)).collect()} == want
+
+
 def test_edge_rows(spark):
     docs, pages, _ = made(2, 60)
     odd = [(900, None, None), (901, "", ""), (902, "not a url", "<html lang=zz>" + words(random.Random(1), "bb", 100_000)), (None, pages[1][1], pages[1][2]), (1, pages[1][1], pages[1][2])]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import chat, decontaminate, knn, langid, licenses, neardup, packing, quality, secrets, urlfilter
 from .session import read
 
@@ -31,7 +33,7 @@ def op6_secret_scan(spark, sf_dir):
 
 
 def op7_voronoi_knn(spark, sf_dir):
-    return knn.neighbours(read(spark, sf_dir, "embeddings"))
+    return knn.neighbours(read(spark, sf_dir, "embeddings"), asks=F.col("vec_id") % knn.ASKS == 0)
 
 
 def op8_decontaminate(spark, sf_dir):

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from claimloom.llm import knn as N
 
@@ -41,8 +42,31 @@ def test_clusters_match_brute_force_and_are_not_all_replicated(spark):
     size = np.bincount(cell, minlength=len(pivots))
     radius = np.array([own[cell == i].max(initial=0) for i in range(len(pivots))])
     lay = N.Layout(pivots, size, radius, [np.sort(own[cell == i])[: N.K + 1] for i in range(len(pivots))], N.K + 1, 100)
-    sent = sum((d[:, c] <= (lay.radius + lay.theta)[c]).any(1).sum() for c in lay.of_group)
-    assert lay.groups >= 9 and sent < 0.5 * 900 * lay.groups
+    assert lay.groups >= 9 and lay.needed(d, cell).sum() < 0.25 * 900 * lay.groups
+
+
+def test_queries_of_a_kind_against_all_in_any_number_of_tiles(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(6, 8)) * 9
+    rows = [(i, (centre[i % 6] + rng.normal(size=8)).tolist()) for i in range(500)] + [(7, (centre[3] + 1).tolist())]
+    want = by_force(rows, N.K)
+    for tiles in (1, 5, None):
+        got = found(N.neighbours(frame(spark, rows), rows=15, asks=F.col("vec_id") % 5 == 0, tiles=tiles))
+        assert {i: [v] for i, v in got.items()} == {i: v for i, v in want.items() if i % 5 == 0}
+
+
+def test_exact_far_from_the_origin_and_with_a_far_vector(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (100_000 + rng.normal(size=3) * 1e-3).tolist()) for i in range(60)]
+    for more in ([], [(60, [-9e6, 0.0, 0.0])]):
+        data = spark.createDataFrame(rows + more, "vec_id bigint, embedding array<double>")
+        want = {}
+        for i, v in rows + more:
+            d = sorted((round(float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), N.DIGITS), j) for j, w in rows + more if j != i)
+            want[i] = [(r + 1, j, x) for r, (x, j) in enumerate(d[:4])]
+        got = found(N.neighbours(data, k=4, rows=20))
+        assert {i: [(r, j) for r, j, _ in v] for i, v in got.items()} == {i: [(r, j) for r, j, _ in v] for i, v in want.items()}
+        assert all(abs(a[2] - b[2]) < 2e-6 for i in want for a, b in zip(got[i], want[i]))
 
 
 def test_hot_cell_is_split(spark):
@@ -53,7 +77,7 @@ def test_hot_cell_is_split(spark):
 
 def test_edge_rows(spark):
     rows = [(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, -1.0]), (5, [3.0, 4.0]), (5, [0.0, 0.5])]
-    odd = [(6, None), (7, []), (8, [1.0]), (9, [float("nan"), 1.0]), (10, [None, 1.0]), (None, [0.0, 0.0])]
+    odd = [(6, None), (7, []), (8, [1.0]), (9, [float("nan"), 1.0]), (10, [None, 1.0]), (None, [0.0, 0.0]), (11, [float("inf"), 1.0])]
     got = N.neighbours(frame(spark, rows + odd), k=3)
     assert got.columns == ["vec_id", "rank", "neighbor_id", "distance"]
     got = found(got)

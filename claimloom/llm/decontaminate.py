@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import drop_ids, fits, prepare, saved
+from .session import BROADCAST_BYTES, content, fits, prepare, saved, without
 from .words import mix, sliced, strings, word_hashes
 
 K, W = 8, 5
@@ -97,22 +97,25 @@ def shared_spans(docs: DataFrame, items: DataFrame, k: int = K, w: int = W, budg
     """
     spark = docs.sparkSession
     prepare(spark)
-    from .session import BROADCAST_BYTES
-
     tests = items.select(F.monotonically_increasing_id().alias("_item"), "item_id", F.col("text").alias("_item_text"))
     tests = saved(fingerprints(tests, "_item_text", k, w))
     marks = tests.select("_item", F.inline("fingerprints")).withColumnRenamed("pos", "_ipos")
     among = None
-    if fits(marks.count(), 8, BROADCAST_BYTES if budget is None else budget):
+    budget = BROADCAST_BYTES if budget is None else budget
+    n_marks, n_bytes = marks.count(), tests.agg(F.sum(F.octet_length("_item_text") + 100)).first()[0] or 0
+    # an item, or a passage of one, that a third of the documents hold must not gather them in a task: what fits goes to them
+    near = F.broadcast if fits(n_marks, 32, budget) else lambda side: side
+    whole = F.broadcast if n_bytes <= budget else lambda side: side
+    if fits(n_marks, 8, budget):
         among = np.sort(np.array([r[0] for r in marks.select("fp").distinct().collect()], np.int64))
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
     found = saved(fingerprints(rows, "text", k, w, among))
     pairs = (
         found.select("_row", F.inline("fingerprints"))
-        .join(marks, "fp")
+        .join(near(marks), "fp")
         .groupBy("_row", "_item")
         .agg(F.collect_set(F.col("pos") - F.col("_ipos")).alias("_diagonals"))
-        .join(tests.select("_item", "item_id", "_item_text"), "_item")
+        .join(whole(tests.select("_item", "item_id", "_item_text")), "_item")
         .join(found.select("_row", "doc_id", "text"), "_row")
         .select("doc_id", "item_id", "text", "_item_text", "_diagonals")
     )
@@ -147,8 +150,14 @@ def shared_spans(docs: DataFrame, items: DataFrame, k: int = K, w: int = W, budg
 
 
 def clean(docs: DataFrame, items: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """The documents that share no run of k + w - 1 words with a test item, with their columns as they were."""
-    return drop_ids(docs, shared_spans(docs, items, k, w))
+    """The documents that share no run of k + w - 1 words with a test item, with their columns as they were.
+
+    Whether one goes depends on its text alone: rows that share an id are judged one by one, and so are rows with a null id. Null,
+    empty and short texts stay, repeated rows stay or go together, and very long texts are read whole. Extra columns may have
+    any name. Without documents there are none, without items all stay.
+    """
+    found = shared_spans(docs.select(content().alias("doc_id"), "text"), items, k, w)
+    return without(docs, content(), saved(found.select("doc_id").distinct()))
 
 
 ORACLE = f"""

@@ -47,6 +47,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this session has written, wherever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fits(rows: int, width: int, budget: int = BROADCAST_BYTES) -> bool:
     return rows * width <= budget
 
@@ -84,13 +90,16 @@ def attach(rows: DataFrame, side: DataFrame, keys: list[str], width: int, heavy:
     return many.unionByName(few)
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of docs whose key is not in ids. The ids are broadcast when their count allows, else both sides shuffle.
-
-    Rows with a null key always stay.
-    """
-    ids = saved(ids.select(key).dropna().distinct())
-    return docs.join(F.broadcast(ids) if fits(ids.count(), 40) else ids, key, "left_anti").select(docs.columns)
+def without(docs: DataFrame, key: Column, gone: DataFrame, width: int = 100) -> DataFrame:
+    """Rows of docs, with their columns as they were, whose key isn't in gone (one column, distinct, saved). Null keys always stay."""
+    at = fresh(docs, "key_")
+    gone = gone.toDF(at)
+    rows = docs.withColumn(at, key)
+    back = [name(c) for c in docs.columns]
+    if fits(gone.count(), width):
+        return rows.join(F.broadcast(gone), at, "left_anti").select(back)
+    # rows without a key needn't meet in one task
+    return rows.where(name(at).isNotNull()).join(gone, at, "left_anti").unionByName(rows.where(name(at).isNull())).select(back)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -63,5 +63,16 @@ def test_edge_rows(spark):
     d = spark.createDataFrame([(i, t, "a", 1, "b") for i, t in docs], DOCS)
     i = spark.createDataFrame([(i, t, "a") for i, t in items], ITEMS)
     kept = D.clean(d, i)
-    assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "4", "None"]
+    assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "4"]
     assert not D.shared_spans(d.limit(0), i).count() and not D.shared_spans(d, i.limit(0)).count()
+
+
+def test_rows_are_judged_by_their_text(spark):
+    p, other = " ".join(f"p{i}" for i in range(14)), " ".join(f"q{i}" for i in range(14))
+    rows = [(None, p), (None, other), (1, p), (1, other), (2, None), (3, ""), (4, p)]
+    d = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id bigint, text string, `a.key` string, key_ string")
+    items = spark.createDataFrame([(1, p)], "item_id bigint, text string")
+    kept = D.clean(d, items)
+    assert kept.columns == d.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted([("1", other), ("2", ""), ("3", ""), ("None", other)])
+    assert D.clean(d, items.limit(0)).count() == len(rows) and not D.clean(d.limit(0), items).count()

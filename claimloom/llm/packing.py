@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import prepare, saved
+from .session import attach, prepare, saved
 
 CAPACITY = 8192
-#: Parts in which pieces of one length are ranked at a time; their counts are added up.
-PARTS = 64
+#: Pieces of one length are ranked in as many parts as hold about so many pieces each; the parts' counts are added up.
+PART_ROWS = 100_000
 
 
 def reduce(count: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -155,12 +155,13 @@ def plan(count: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     return np.array(runs, np.int64).reshape(-1, 6), bins
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """doc_id, piece, start, length, bin_id, bin_offset: a row for each piece of each document, all bigint but the id.
 
     start and length place the piece in its document, bin_id and bin_offset in the sequences. docs: doc_id, text; other
     columns are ignored. Null and empty texts have no piece. Rows that repeat, or repeat an id, are packed one by one; ids
-    may be null. Equal lengths are interchangeable and are ranked by a hash and the value of their id.
+    may be null. Equal lengths are interchangeable and are ranked by id, within parts of about part_rows of
+    them that are drawn at random where there are more.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -168,18 +169,21 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = No
     rows = docs.select("doc_id", n.alias("_n")).where("_n > 0")
     pieces = rows.select("doc_id", F.posexplode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / capacity))).alias("piece", "_at"), "_n")
     pieces = pieces.select("doc_id", F.col("piece").cast("bigint").alias("piece"), (F.col("_at") * capacity).cast("bigint").alias("start"), F.least(F.lit(capacity).cast("bigint"), F.col("_n") - F.col("_at") * capacity).alias("length"))
-    part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "piece"), F.lit(PARTS)).cast("int")
-    pieces = saved(pieces.withColumn("_part", part))
-    counts = saved(pieces.groupBy("length", "_part").agg(F.count("*").alias("_count")))
+    pieces = saved(pieces.withColumn("_row", F.monotonically_increasing_id()))
     total = np.zeros(capacity + 1, np.int64)
-    for r in counts.groupBy("length").agg(F.sum("_count").alias("n")).collect():  # a row a length at most
+    for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # a row a length at most
         total[r["length"]] = r["n"]
+    # lengths of many pieces, full pieces above all, are ranked in many parts
+    parts = spark.createDataFrame([(i, int(-(-total[i] // part_rows))) for i in np.flatnonzero(total > part_rows).tolist()], "length bigint, _parts int")
+    part = F.pmod(F.xxhash64("_row"), F.coalesce("_parts", F.lit(1))).cast("int")
+    pieces = pieces.join(F.broadcast(parts), "length", "left").withColumn("_part", part).drop("_parts", "_row")
+    counts = saved(pieces.groupBy("length", "_part").agg(F.count("*").alias("_count")))
     runs, _ = plan(total, capacity)
     order = np.lexsort((runs[:, 1], runs[:, 0]))
     held = spark.sparkContext.broadcast(runs[order])
     before = F.coalesce(F.sum("_count").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = pieces.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "start")))
-    ranked = ranked.join(counts.select("length", "_part", before.alias("_before")), ["length", "_part"])
+    ranked = attach(ranked, saved(counts.select("length", "_part", before.alias("_before"))), ["length", "_part"], 40)
     ranked = ranked.select("doc_id", "piece", "start", "length", (F.col("_before") + F.col("_rank") - 1).alias("_rank"))
     out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece bigint, start bigint, length bigint, bin_id bigint, bin_offset bigint"
 

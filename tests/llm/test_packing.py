@@ -113,11 +113,12 @@ def test_reduction_loses_nothing(seed):
     assert sum(t for t, _ in fixed) + (best(left, capacity) if left else 0) == best(lengths, capacity)
 
 
-def test_packed(spark):
+@pytest.mark.parametrize("part_rows", [P.PART_ROWS, 7])
+def test_packed(spark, part_rows):
     rng = random.Random(2)
     rows = [(i, "é" * rng.randint(0, 60), "x", "y") for i in range(300)] + [(5, "abc", "x", "y")] * 3 + [(None, "abc", "x", "y"), (700, None, "x", "y"), (701, "z" * 5003, "x", "y")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, piece string, length string")
-    got = P.packed(docs, 100).collect()
+    got = P.packed(docs, 100, part_rows=part_rows).collect()
     bins, cut = defaultdict(list), defaultdict(list)
     for r in got:
         bins[r.bin_id].append((r.bin_offset, r.length))

@@ -1,5 +1,9 @@
+import math
 import random
 import re
+from collections import Counter, defaultdict
+
+import numpy as np
 
 from claimloom.llm import secrets as S
 
@@ -51,6 +55,48 @@ def test_held_out_rates():
     assert (m.score(keys) > m.threshold).mean() > 0.97 and (m.score(names) > m.threshold).mean() < 0.005
     assert abs(m.score(["abcdefgh1234abcd"])[0] - m.score(["x" * 40, "abcdefgh1234abcd"])[1]) < 1e-9
 
+    def ordinary(rng):
+        w = [x[: rng.randint(2, 7)] for x in rng.sample(words, 2)]
+        return rng.choice([w[0] + str(rng.randint(0, 9999)), f"{w[0]}_{w[1]}{rng.randint(0, 99)}", f"{w[0].title()}{w[1].title()}{rng.randint(0, 9)}", f"20{rng.randint(10, 29)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", str(rng.randint(10**7, 10**14))])
+
+    rng = random.Random(5)
+    short = [x for x in (ordinary(rng) for _ in range(6000)) if S.SHORTEST <= len(x) < S.LENGTH and re.fullmatch(S.CANDIDATE, x)]
+    assert len(short) > 2000 and (m.score(short) > m.threshold).mean() < 0.005
+    rate = {n: np.mean([m.score(["".join(rng.choice(S._ALPHABET[:62]) for _ in range(n))])[0] > m.threshold for _ in range(300)]) for n in (10, 12, 15, 16, 24)}
+    assert rate[16] > 0.97 and rate[24] > 0.99 and rate[15] > 0.9 and rate[12] > 0.6, rate
+
+
+def test_chain_against_counts_in_dictionaries():
+    tokens = ["abc_def", "abab", "x", "Zz9/9=", "abc"]
+    got, size = S.Chain(tokens).log, len(S._ALPHABET) + 1
+    number = {c: i + 1 for i, c in enumerate(S._ALPHABET)}
+    two, one, none = defaultdict(Counter), defaultdict(Counter), Counter()
+    for t in tokens:
+        x = [0, 0, *(number[c] for c in t)]
+        for i in range(2, len(x)):
+            two[x[i - 2], x[i - 1]][x[i]] += 1
+            one[x[i - 1]][x[i]] += 1
+            none[x[i]] += 1
+    for a in range(size):
+        for b in range(size):
+            for c in (0, 1, 2, 3, 26, 27, 52, 62, 63, 64, 65):
+                p0 = (none[c] + 0.5) / (sum(none.values()) + 0.5 * size)
+                p1 = (one[b][c] + (len(one[b]) + 1e-6) * p0) / (sum(one[b].values()) + len(one[b]) + 1e-6)
+                p2 = (two[a, b][c] + (len(two[a, b]) + 1e-6) * p1) / (sum(two[a, b].values()) + len(two[a, b]) + 1e-6)
+                assert abs(math.log(p2) - got[a * size + b, c]) < 1e-9
+
+
+def test_letters_are_counted_over_all_texts(spark):
+    rows, _ = made(3, 60)
+    rows += [(900, None), (901, ""), (902, "Übung naïve x1y ABC abc"), (903, "z" * 5000)]
+    want = Counter()
+    for _, t in rows:
+        for w in re.findall("[a-z]+", (re.sub("[^\x00-\x7f]", " ", t or "")).lower()):
+            x = [0, 0, *(ord(c) - 96 for c in w)]
+            want.update(zip(x, x[1:], x[2:]))
+    got = S.letter_counts(docs_of(spark, rows).repartition(5))
+    assert {k: int(got[k]) for k in zip(*(x.tolist() for x in np.nonzero(got)))} == dict(want)
+
 
 def key_of(rng, kind):
     alphabet, n = [("0123456789abcdef", 40), ("0123456789abcdef", 32), (S._ALPHABET[:62], 32), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 20)][kind]
@@ -84,6 +130,21 @@ def test_masks_keys_in_paths_and_names(spark):
     assert found == {900: "see srv/data/config/backup/[SECRET]/index/file/list now", 901: "user_session_token_[SECRET]"}
 
 
+def test_places_and_masking_by_place(spark):
+    key, short = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2", "qX7vK2pZ9tRw4m"
+    rows, _ = made(6)
+    texts = {900: f"é {key} ü\n{key}: {short}!", 901: f"{short} and in{short}side is no place", 902: key}
+    docs = docs_of(spark, rows + list(texts.items()))
+    found = [r for r in S.scan(docs).collect() if r.doc_id >= 900]
+    assert all(texts[r.doc_id][r.start : r.end] == r.secret for r in found) and sum(r.secret == key for r in found) == 3 and sum(r.secret == short for r in found) >= 2
+    by = {i: sorted((r.start, r.end) for r in found if r.doc_id == i) for i in texts}
+    for r in S.redact(docs).where("doc_id >= 900").collect():
+        want, at = "", 0
+        for a, b in by[r.doc_id]:
+            want, at = want + texts[r.doc_id][at:a] + S.MASK, b
+        assert r.text == want + texts[r.doc_id][at:]
+
+
 def test_edge_rows(spark):
     key = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
     rows, _ = made(5, 60)
@@ -95,4 +156,6 @@ def test_edge_rows(spark):
     assert got[902] == [(0, key), (0, key), (1, key), (1, key)]
     text = {r.doc_id: (r.text, r.n_chars) for r in S.redact(docs_of(spark, rows)).collect()}
     assert text[900] == (None, 0) and text[901] == ("", 0) and text[902] == ("[SECRET] and [SECRET]", 21) and text[None][0] == S.MASK
-    assert not S.scan(docs_of(spark, rows).limit(0)).count()
+    assert not S.scan(docs_of(spark, rows).limit(0)).count() and not S.redact(docs_of(spark, rows).limit(0)).count()
+    odd = docs_of(spark, rows[:5]).withColumnRenamed("secrets", "a.b").withColumnRenamed("place", "secrets_")
+    assert S.redact(odd).columns == odd.columns and S.redact(odd).count() == 5

@@ -59,3 +59,39 @@ def test_edge_rows(spark):
     assert not Q.scores(docs.limit(0), labels).count()
     assert {r.p_good for r in Q.scores(docs, labels.limit(0)).collect()} == {1.0, None}
     assert {r.p_good for r in Q.scores(docs, labels.where("quality = 0")).collect()} == {0.0, None}
+
+
+def test_scores_against_plain_compression(spark):
+    import zstandard
+
+    rows = made(200, 3)
+    docs, labels = frames(spark, rows, 120)
+    model = Q.train(docs, labels)
+    press = [zstandard.ZstdCompressor(level=Q.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw), write_dict_id=False, write_content_size=False, write_checksum=False) for raw in (model.good, model.bad)]
+    got = {r.doc_id: r.p_good for r in Q.scores(docs, labels).collect()}
+    for i, text, _ in rows:
+        raw = text.encode()
+        good, bad = (sum(len(p.compress(raw[a : a + Q.CHUNK])) - 6 for a in range(0, len(raw), Q.CHUNK)) for p in press)
+        n, ratio = len(raw), np.log((max(good, bad, 0) + 1) / len(raw))
+        x = np.array([(bad - good) / n, ratio, np.log(n), ratio * np.log(n), (bad - good) / n * np.log(n)])
+        x = (np.minimum(np.maximum(x, model.link.low), model.link.high) - model.link.mean) / model.link.scale
+        assert abs(got[i] - 1 / (1 + np.exp(-(x @ model.link.weight[:-1] + model.link.weight[-1])))) < 1e-9
+
+
+def test_text_ids_and_clashing_columns(spark):
+    rows = made(300, 4)
+    docs = spark.createDataFrame([(f"id{i}", t, "a", "b") for i, t, _ in rows], "doc_id string, text string, `a.b` string, quality string")
+    labels = spark.createDataFrame([(f"id{i}", q) for i, _, q in rows], "doc_id string, quality int")
+    assert Q.good(docs, labels).columns == docs.columns
+    kept, want = {r.doc_id for r in Q.good(docs, labels).collect()}, {f"id{i}" for i, _, q in rows if q}
+    assert len(kept ^ want) <= 0.03 * len(rows)
+    assert Q.scores(docs, labels).count() == 300 and not Q.good(docs.limit(0), labels).count()
+
+
+def test_dictionary_without_training_takes_chunks_of_all_texts(monkeypatch):
+    def fails(*a, **k):
+        raise Q.zstandard.ZstdError("too few samples")
+
+    monkeypatch.setattr(Q.zstandard, "train_dictionary", fails)
+    raw = Q.dictionary([bytes([65 + i]) * 8000 for i in range(26)])
+    assert set(raw) == set(range(65, 91)) and len(raw) <= Q.DICTIONARY

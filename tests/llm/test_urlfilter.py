@@ -45,13 +45,21 @@ def by_hand(train, url):
 def test_chain_against_dictionaries():
     rows = made(1, 60)
     urls = [u for _, u, _ in rows[:40]]
-    chain = U.Chain(urls)
+    chain = U.Chain(U.counted(strings(pa.array(urls)), 48), 48)  # so many cells that no n-grams share one
     for _, u, _ in rows[40:] + [(0, "é", 0)]:
         ctx, pair, text = U.contexts(strings(pa.array([u, "x", u])))
         got = np.bincount(text, chain.log(ctx, pair))
         assert abs(got[0] - by_hand(urls, u)) < 1e-6 and abs(got[0] - got[2]) < 1e-9
 
 
+def test_counts_of_all_tasks_are_those_of_one(spark):
+    rows = made(4, 300)
+    urls = spark.createDataFrame([(u, r) for _, u, r in rows], "url string, rejected boolean").repartition(5)
+    for got, label in zip(U.chains(urls, 48), (False, True)):
+        want = U.Chain(U.counted(strings(pa.array([u for _, u, r in rows if r == label])), 48), 48)
+        assert len(got.levels) == U.ORDER + 1 and all(np.array_equal(x, y) for a, b in zip(got.levels, want.levels) for x, y in zip(a, b))
+
+
 def test_held_out_accuracy(spark):
     rows = made(2, 900)
     labels = spark.createDataFrame([(u, r, "x") for _, u, r in rows[:500]], "url string, rejected boolean, page_id string")

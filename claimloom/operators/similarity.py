@@ -1,8 +1,9 @@
 """Set-similarity joins: inverted on tokens, never a nested loop over texts.
 
 Two sets with a Jaccard of t or more share a token among the first n - ceil(t n) + 1 of each, in any order that both
-follow; rare tokens first makes few candidates. The order needs the counts of the frequent tokens alone: those in at
-least one of FREQUENT sets, of which there are at most FREQUENT times the mean size of a set, whatever the corpus.
+follow; rare tokens first makes few candidates. The order goes by the counts of all tokens. Those that many sets hold are
+few (in at least one of FREQUENT sets there are at most FREQUENT times the mean size of a set) and go to the sets by a
+broadcast; the rest, which are spread evenly, by a shuffle where they are too many to go along.
 """
 
 from __future__ import annotations
@@ -12,22 +13,31 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from ..plans.lineage import fits, saved
 
 FREQUENT = 500
 DUPLICATE = 0.55
 
 
-def frequent(sets: DataFrame) -> DataFrame:
-    """token, df of the tokens in at least one of FREQUENT sets (sets: tokens)."""
+def token_counts(sets: DataFrame) -> tuple[DataFrame, int]:
+    """token, df of all tokens (sets: tokens), saved, and the number of sets."""
     counts = sets.select(F.explode_outer("tokens").alias("token")).where("token is not null").groupBy("token").agg(F.count("*").alias("df"))
-    total = sets.select(F.count("*").alias("_n"))
-    return counts.crossJoin(F.broadcast(total)).where(F.col("df") * FREQUENT >= F.col("_n")).select("token", "df")
+    return saved(counts), sets.count()
 
 
-def prefixes(sets: DataFrame, common: DataFrame, t: float) -> DataFrame:
+def counted(exploded: DataFrame, counts: DataFrame, n_sets: int) -> DataFrame:
+    """exploded (token, ...) with the df of each token."""
+    if fits(counts.count(), 80):
+        return exploded.join(F.broadcast(counts), "token")
+    many = F.broadcast(counts.where(F.col("df") * FREQUENT >= n_sets))
+    few = counts.where(F.col("df") * FREQUENT < n_sets)
+    return exploded.join(many, "token").unionByName(exploded.join(many.select("token"), "token", "left_anti").join(few, "token"))
+
+
+def prefixes(sets: DataFrame, counts: DataFrame, n_sets: int, t: float) -> DataFrame:
     """key, n, token: the tokens by which each set (key, tokens) has to be looked up for a Jaccard of t."""
     exploded = sets.select("key", F.size("tokens").alias("n"), F.explode_outer("tokens").alias("token")).where("token is not null")
-    ranked = exploded.join(F.broadcast(common), "token", "left").select("key", "n", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token").alias("x"))
+    ranked = counted(exploded, counts, n_sets).select("key", "n", F.struct("df", "token").alias("x"))
     ordered = ranked.groupBy("key", "n").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     keep = F.col("n") - F.ceil(F.col("n") * F.lit(t) - F.lit(1e-9)) + 1
     return ordered.select("key", "n", F.explode(F.transform(F.slice("xs", F.lit(1), keep.cast("int")), lambda x: x["token"])).alias("token"))
@@ -35,9 +45,9 @@ def prefixes(sets: DataFrame, common: DataFrame, t: float) -> DataFrame:
 
 def jaccard_pairs(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
     """left_key, right_key, score of all pairs of sets (key, tokens) with a Jaccard of t > 0 or more. Empty sets pair with none."""
-    common = frequent(left.select("tokens").unionByName(right.select("tokens")))
-    a = prefixes(left, common, t).select(F.col("key").alias("left_key"), F.col("n").alias("an"), "token")
-    b = prefixes(right, common, t).select(F.col("key").alias("right_key"), F.col("n").alias("bn"), "token")
+    counts, n = token_counts(left.select("tokens").unionByName(right.select("tokens")))
+    a = prefixes(left, counts, n, t).select(F.col("key").alias("left_key"), F.col("n").alias("an"), "token")
+    b = prefixes(right, counts, n, t).select(F.col("key").alias("right_key"), F.col("n").alias("bn"), "token")
     fit = (F.col("bn") >= F.col("an") * t - 1e-9) & (F.col("an") >= F.col("bn") * t - 1e-9)
     pairs = a.join(b, "token").where(fit).select("left_key", "right_key").distinct()
     both = pairs.join(left.select(F.col("key").alias("left_key"), F.col("tokens").alias("_a")), "left_key").join(right.select(F.col("key").alias("right_key"), F.col("tokens").alias("_b")), "right_key")
@@ -48,8 +58,8 @@ def near_duplicates(claims: DataFrame, others: DataFrame, t: float = DUPLICATE)
     """claims (text) with likely_duplicate: whether some other text has a Jaccard of t or more. Equal word sets are compared once."""
     key = F.array_sort(tx.words(F.col("text")))
     rows = claims.withColumn("_words", key)
-    left = rows.select(F.col("_words").alias("key")).distinct().withColumn("tokens", F.col("key"))
-    right = others.select(key.alias("key")).distinct().withColumn("tokens", F.col("key"))
+    left = saved(rows.select(F.col("_words").alias("key")).distinct()).withColumn("tokens", F.col("key"))
+    right = saved(others.select(key.alias("key")).distinct()).withColumn("tokens", F.col("key"))
     hits = jaccard_pairs(left, right, t).select(F.col("left_key").alias("_words")).distinct().withColumn("_hit", F.lit(True))
     return rows.join(hits, "_words", "left").withColumn("likely_duplicate", F.coalesce("_hit", F.lit(False))).drop("_words", "_hit")
 

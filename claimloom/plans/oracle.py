@@ -304,7 +304,7 @@ ORACLES = {
     "hesitation_markers": f"WITH {HESITATION} SELECT * FROM hes",
     "hesitation_counts": f"WITH {HESITATION} SELECT count(*) AS claim_count, count(*) FILTER (marker = 'hesitation_candidate') AS candidate_count, count(*) FILTER (marker = 'insufficient_words') AS insufficient_count FROM hes",
     "duplicate_report": f"WITH {LINES}, {BENCH}, {duplicates('line')} SELECT * FROM dup",
-    "similar_turns": f"WITH d AS (SELECT DISTINCT {wordset('text')} AS w FROM conversations), s AS (SELECT array_to_string(w, ' ') AS k, len(w) AS n, unnest(w) AS x FROM d), p AS (SELECT a.k AS l, b.k AS r, a.n AS an, b.n AS bn, count(*) AS shared_n FROM s a JOIN s b USING (x) WHERE a.k < b.k GROUP BY 1, 2, 3, 4) SELECT md5(l) AS left_key, md5(r) AS right_key, round(shared_n / (an + bn - shared_n), 6) AS score FROM p WHERE shared_n / (an + bn - shared_n) >= 0.5",
+    "similar_turns": f"WITH d AS (SELECT DISTINCT {wordset('text')} AS w FROM (SELECT text FROM conversations UNION ALL SELECT unnest({lst(corpora.DEBATES)}))), s AS (SELECT array_to_string(w, ' ') AS k, len(w) AS n, unnest(w) AS x FROM d), p AS (SELECT a.k AS l, b.k AS r, a.n AS an, b.n AS bn, count(*) AS shared_n FROM s a JOIN s b USING (x) WHERE a.k < b.k GROUP BY 1, 2, 3, 4) SELECT md5(l) AS left_key, md5(r) AS right_key, round(shared_n / (an + bn - shared_n), 6) AS score FROM p WHERE shared_n / (an + bn - shared_n) >= 0.3",
     "topic_similarity": f"WITH {TOPICS}, {_PAIRS}, sc AS (SELECT topic_id, a, b, round(shared_n / (an + bn - shared_n) * 0.55::DOUBLE + shared_n / greatest(1, least(an, bn)) * 0.45::DOUBLE, 4) AS score FROM pr) SELECT * FROM sc WHERE score >= 0.2",
     "source_trace": f"WITH {CLAIMS} SELECT video_id, claim_ord AS trace_ord, claim_id, time_ref, evidence, confidence, content_type AS claim_type, text[1:500] AS excerpt FROM typed WHERE claim_ord <= 5",
     "worth_decision": f"WITH {CLAIMS}, {GENRES}, {BENCH}, {duplicates('claim')}, {_worth()}",

@@ -42,9 +42,9 @@ def _claims(read) -> DataFrame:
     return claims.classified(claims.split_claims(corpora.segments(read("conversations"))))
 
 
-def _topics(read) -> DataFrame:
+def _topics(read, segments=corpora.topic_segments) -> DataFrame:
     """Claim records of the topics, one claim a turn."""
-    segs = corpora.topic_segments(read("conversations"))
+    segs = segments(read("conversations"))
     rows = claims.records(claims.classified(claims.split_claims(segs, presplit=False)))
     return rows.withColumn("topic_ord", F.col("seg_ord"))
 
@@ -53,9 +53,9 @@ def _packages(read) -> DataFrame:
     return claims.packages(corpora.segments(read("conversations")), corpora.videos(read("conversations")))
 
 
-def _grouped(read, method: str = "token_jaccard", threshold: float | None = 1.0) -> DataFrame:
+def _grouped(read, method: str = "token_jaccard", threshold: float | None = 1.0, segments=corpora.topic_segments) -> DataFrame:
     """Topics' claims in groups of equal token sets, which SQL can form as well; or by a method's own threshold."""
-    rows = saved(_topics(read))
+    rows = saved(_topics(read, segments))
     return saved(terrain.members(rows, cluster.clusters(rows, method, threshold)))
 
 
@@ -184,15 +184,16 @@ def duplicate_report(read, spark):
 
 @query
 def similar_turns(read, spark):
-    """Pairs of different turns' word sets with a Jaccard of a half or more."""
-    sets = read("conversations").select(F.array_sort(tx.words(F.col("text"))).alias("tokens")).distinct().where(F.size("tokens") > 0).withColumn("key", F.array_join("tokens", " "))
-    pairs = similarity.jaccard_pairs(sets, sets, 0.5).where("left_key < right_key")
+    """Pairs of different word sets of turns and of debated claims with a Jaccard of 0.3 or more."""
+    turns = read("conversations").select("text").unionByName(corpora.debate_segments(read("conversations")).select("text"))
+    sets = turns.select(F.array_sort(tx.words(F.col("text"))).alias("tokens")).distinct().where(F.size("tokens") > 0).withColumn("key", F.array_join("tokens", " "))
+    pairs = similarity.jaccard_pairs(sets, sets, 0.3).where("left_key < right_key")
     return pairs.select(F.md5("left_key").alias("left_key"), F.md5("right_key").alias("right_key"), F.round("score", 6).alias("score"))
 
 
 @query
 def topic_similarity(read, spark):
-    return similarity.topic_pairs(_topics(read)).where("score >= 0.2").select("topic_id", "a", "b", "score")
+    return similarity.topic_pairs(saved(_topics(read))).where("score >= 0.2").select("topic_id", "a", "b", "score")
 
 
 @query
@@ -278,17 +279,17 @@ def _overlays(read) -> DataFrame:
 
 @query
 def clusters_normalized(read, spark):
-    return cluster.clusters(_topics(read))
+    return cluster.clusters(saved(_topics(read)))
 
 
 @query
 def clusters_token_jaccard(read, spark):
-    return cluster.clusters(_topics(read), "token_jaccard")
+    return cluster.clusters(saved(_topics(read)), "token_jaccard")
 
 
 @query
 def clusters_equal_tokens(read, spark):
-    return cluster.clusters(_topics(read), "token_jaccard", 1.0)
+    return cluster.clusters(saved(_topics(read)), "token_jaccard", 1.0)
 
 
 @query
@@ -303,7 +304,7 @@ def claim_groups_normalized(read, spark):
 
 @query
 def disagreements(read, spark):
-    return terrain.disagreements(terrain.claim_groups(_grouped(read, "normalized", None)))
+    return terrain.disagreements(terrain.claim_groups(_grouped(read, "normalized", None, corpora.debate_segments)))
 
 
 @query
@@ -313,7 +314,7 @@ def outliers(read, spark):
 
 @query
 def contradictions(read, spark):
-    rows = _grouped(read, "normalized", None)
+    rows = _grouped(read, "normalized", None, corpora.debate_segments)
     return terrain.contradictions(rows, terrain.claim_groups(rows))
 
 

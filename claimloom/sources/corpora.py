@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..plans.lineage import spread
 
 SEEDS = (
     "The vendor says it can cut water use, and a case study claims twenty percent savings.",
@@ -32,6 +33,20 @@ SEEDS = (
 )
 
 
+#: Claims of few words in common form, for and against the same things.
+DEBATES = (
+    "The vendor says sensor probes can cut water use by twenty percent.",
+    "However, sensor probes drift and cut water use by ten percent only.",
+    "Sensor probes might cut water use where the soil is dry.",
+    "A case study claims that sensor probes always cut water use.",
+    "The ministry claims the subsidy policy is proven to improve adoption.",
+    "However, a subsidy policy without maintenance does not prove adoption.",
+    "It may be the weather, and not the subsidy policy, behind adoption.",
+    "Just a plain remark about nothing much.",
+    "",
+)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -40,7 +55,7 @@ def seeded(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, text: conversations, each turn with its seed sentence."""
     at = (F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(SEEDS))) + 1).cast("int")
     seed = F.element_at(F.array(*map(F.lit, SEEDS)), at)
-    return conversations.select("conv_id", "turn", "role", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), seed).alias("text"))
+    return spread(conversations, "conv_id").select("conv_id", "turn", "role", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), seed).alias("text"))
 
 
 def segments(conversations: DataFrame) -> DataFrame:
@@ -56,13 +71,23 @@ def videos(conversations: DataFrame) -> DataFrame:
 
 def topic_segments(conversations: DataFrame) -> DataFrame:
     """topic_id, and segments with one source for each role of a conversation."""
+    return _topics(seeded(conversations))
+
+
+def debate_segments(conversations: DataFrame) -> DataFrame:
+    """As topic_segments, but of each turn's claim of DEBATES alone."""
+    at = (F.pmod(F.col("conv_id") * 5 + F.col("turn") * 2, F.lit(len(DEBATES))) + 1).cast("int")
+    return _topics(conversations.select("conv_id", "turn", "role", F.element_at(F.array(*map(F.lit, DEBATES)), at).alias("text")))
+
+
+def _topics(turns: DataFrame) -> DataFrame:
     t = F.concat(F.lit("t"), F.col("conv_id").cast("string"))
-    return seeded(conversations).select(t.alias("topic_id"), F.concat(t, F.lit("-"), F.coalesce("role", F.lit("unknown"))).alias("video_id"), F.col("turn").cast("int").alias("seg_ord"), "text", F.col("role").alias("speaker"), tx.clock(F.col("turn") * 6).alias("time_ref"), F.lit("transcript").alias("source_hint"), F.lit("transcript").alias("modality_source"))
+    return turns.select(t.alias("topic_id"), F.concat(t, F.lit("-"), F.coalesce("role", F.lit("unknown"))).alias("video_id"), F.col("turn").cast("int").alias("seg_ord"), "text", F.col("role").alias("speaker"), tx.clock(F.col("turn") * 6).alias("time_ref"), F.lit("transcript").alias("source_hint"), F.lit("transcript").alias("modality_source"))
 
 
 def line_segments(documents: DataFrame) -> DataFrame:
     """video_id, seg_ord, text: the lines of documents."""
-    return documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("video_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("seg_ord", "text"))
+    return spread(documents.select("doc_id", "text"), "doc_id").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("video_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("seg_ord", "text"))
 
 
 def benchmark_segments(benchmark: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries over groups of claims at the reference's default clusterer (normalized, 0.20). Greedy clusters can't be said in SQL."""
+"""Queries over groups of claims at the reference's default clusterer (normalized, 0.20); their SQL is in folds.py."""
 
 from __future__ import annotations
 
@@ -9,15 +9,19 @@ from .queries import _grouped, flat
 QUERIES: dict = {}
 
 
-def query(f):
+def query(f, segments=corpora.topic_segments):
     def run(spark, sf_dir):
-        rows = _grouped(lambda table: corpora.read(spark, sf_dir, table), "normalized", None)
+        rows = _grouped(lambda table: corpora.read(spark, sf_dir, table), "normalized", None, segments)
         return flat(f(rows, terrain.claim_groups(rows)))
 
     QUERIES[f.__name__] = run
     return run
 
 
+def debate(f):
+    return query(f, corpora.debate_segments)
+
+
 @query
 def outliers_normalized(rows, groups):
     return terrain.outliers(groups)
@@ -41,3 +45,13 @@ def topic_summary_normalized(rows, groups):
 @query
 def group_detail_normalized(rows, groups):
     return views.group_detail(groups, rows).drop("need_gates")
+
+
+@debate
+def disagreements_debated(rows, groups):
+    return terrain.disagreements(groups)
+
+
+@debate
+def contradictions_debated(rows, groups):
+    return terrain.contradictions(rows, groups)

@@ -91,8 +91,10 @@ ORACLES = {
     "opinion_warnings_normalized": f"{_DEFAULT} SELECT topic_id, 'opinion_group_skipped_single_source:' || axis AS warning FROM bucket WHERE len(vids) < 2 UNION ALL SELECT topic_id, 'opinion_group_builder_produced_no_groups' FROM bucket GROUP BY topic_id HAVING bool_and(len(vids) < 2)",
     "topic_summary_normalized": f"{_DEFAULT}, s AS (SELECT topic_id, count(DISTINCT video_id) AS video_record_count, count(*) AS claim_total FROM rec GROUP BY 1), k AS (SELECT topic_id, count(*) AS claim_group_count, count(*) FILTER (repeated_claim) AS repeated_claim_groups, count(*) FILTER (disagreement_point) AS disagreement_groups, count(*) FILTER (outlier_claim) AS outlier_groups FROM grp GROUP BY 1) SELECT *, 'not_evaluated' AS truth_status, 'not_performed' AS fact_check_status FROM s JOIN k USING (topic_id)",
     "group_detail_normalized": f"{_DEFAULT} SELECT topic_id, group_id, claim_uid, video_id, time_ref, secs AS timestamp_start, speaker, confidence, 'caption' AS modality, evidence_id, {_COORD} AS coordinate, text FROM grp JOIN mem USING (topic_id, cluster)",
-    "disagreements": f"{_DEBATE} SELECT topic_id, 'D' || group_id[2:] AS relation_id, group_id AS claim_group_id, CASE WHEN list_contains(stances, '{terrain.SUPPOSES}') AND NOT list_contains(stances, '{terrain.DOUBTS}') THEN 'alternative_explanation' ELSE 'support_vs_caution' END AS relation_type, {_LISTED('claim_uids')}, CASE WHEN claim_count >= 2 THEN 'medium' ELSE 'low' END AS confidence, true AS human_review_required FROM grp WHERE disagreement_point",
-    "contradictions": f"{_DEBATE}, o AS (SELECT x.topic_id, x.cluster, sc.a AS left_claim_uid, sc.b AS right_claim_uid, {_OPPOSED} AS opposition_score FROM sc JOIN mem x ON x.topic_id = sc.topic_id AND x.claim_uid = sc.a JOIN mem y ON y.topic_id = sc.topic_id AND y.claim_uid = sc.b WHERE x.cluster = y.cluster) SELECT topic_id, group_id AS claim_group_id, left_claim_uid, right_claim_uid, opposition_score::DOUBLE AS opposition_score FROM o JOIN grp USING (topic_id, cluster) WHERE opposition_score >= 0.45",
+    "disagreements": f"{_DEFAULT} SELECT topic_id, 'D' || group_id[2:] AS relation_id, group_id AS claim_group_id, CASE WHEN list_contains(stances, '{terrain.SUPPOSES}') AND NOT list_contains(stances, '{terrain.DOUBTS}') THEN 'alternative_explanation' ELSE 'support_vs_caution' END AS relation_type, {_LISTED('claim_uids')}, CASE WHEN claim_count >= 2 THEN 'medium' ELSE 'low' END AS confidence, true AS human_review_required FROM grp WHERE disagreement_point",
+    "contradictions": f"{_DEFAULT}, o AS (SELECT x.topic_id, x.cluster, sc.a AS left_claim_uid, sc.b AS right_claim_uid, {_OPPOSED} AS opposition_score FROM sc JOIN mem x ON x.topic_id = sc.topic_id AND x.claim_uid = sc.a JOIN mem y ON y.topic_id = sc.topic_id AND y.claim_uid = sc.b WHERE x.cluster = y.cluster) SELECT topic_id, group_id AS claim_group_id, left_claim_uid, right_claim_uid, opposition_score::DOUBLE AS opposition_score FROM o JOIN grp USING (topic_id, cluster) WHERE opposition_score >= 0.45",
+    "disagreements_debated": f"{_DEBATE} SELECT topic_id, 'D' || group_id[2:] AS relation_id, group_id AS claim_group_id, CASE WHEN list_contains(stances, '{terrain.SUPPOSES}') AND NOT list_contains(stances, '{terrain.DOUBTS}') THEN 'alternative_explanation' ELSE 'support_vs_caution' END AS relation_type, {_LISTED('claim_uids')}, CASE WHEN claim_count >= 2 THEN 'medium' ELSE 'low' END AS confidence, true AS human_review_required FROM grp WHERE disagreement_point",
+    "contradictions_debated": f"{_DEBATE}, o AS (SELECT x.topic_id, x.cluster, sc.a AS left_claim_uid, sc.b AS right_claim_uid, {_OPPOSED} AS opposition_score FROM sc JOIN mem x ON x.topic_id = sc.topic_id AND x.claim_uid = sc.a JOIN mem y ON y.topic_id = sc.topic_id AND y.claim_uid = sc.b WHERE x.cluster = y.cluster) SELECT topic_id, group_id AS claim_group_id, left_claim_uid, right_claim_uid, opposition_score::DOUBLE AS opposition_score FROM o JOIN grp USING (topic_id, cluster) WHERE opposition_score >= 0.45",
     "assembled_sentences": f"WITH RECURSIVE {LINES}, tcue AS (SELECT video_id, seg_ord AS cue_ord, text, seg_ord * 4.0::DOUBLE AS s, seg_ord * 4.0::DOUBLE + 3 AS e FROM line), {units('tcue')} SELECT video_id, unit_ord, text, s AS start, e AS \"end\", array_to_string(cues, '|') AS cue_indices, len(cues) AS cue_count, greatest(0.0::DOUBLE, e - s) AS span_seconds, len(cues) > 1 AS is_merged FROM unit",
     "segment_sentences": f"WITH RECURSIVE {SEG}, tcue AS (SELECT video_id, seg_ord AS cue_ord, text, seg_ord * 6.0::DOUBLE AS s, seg_ord * 6.0::DOUBLE AS e FROM seg), {units('tcue')}, of AS (SELECT u.video_id, u.unit_ord, u.text, unnest(cues) AS cue_ord FROM unit u) SELECT of.video_id, unit_ord AS seg_ord, of.text, arg_min(speaker, cue_ord) AS speaker, arg_min(time_ref, cue_ord) AS time_ref, 'transcript' AS source_hint, 'transcript' AS modality_source, string_agg(time_ref, '|' ORDER BY cue_ord) AS source_time_refs FROM of JOIN seg ON seg.video_id = of.video_id AND seg.seg_ord = of.cue_ord GROUP BY 1, 2, 3",
 }

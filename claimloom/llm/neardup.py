@@ -1,11 +1,16 @@
 """SimHash near-duplicate groups, searched with BK-trees.
 
 The fingerprint of a text has BITS bits: each distinct word votes on every bit. Two texts are near copies when their
-fingerprints differ in at most RADIUS bits; groups are the connected components. Candidates meet in shards: each of
-some tables picks some bits, and fingerprints that agree on them share a shard. More bits a table make a meeting rarer,
-so there are as many tables as keep the chance of one at RECALL. Every shard holds a BK-tree (children
-keyed by the integer Hamming distance to their parent), searched for all its members, following only edges within the
-radius. Trees grow with the data, so shards are brought to their queries by the shuffle instead of a broadcast.
+fingerprints differ in at most RADIUS bits; groups are the connected components. They are found in two passes. In the first,
+candidates meet in shards: each of some tables picks some bits, and fingerprints that agree on them share a shard. More bits
+a table make a meeting rarer, so there are as many tables as keep the chance of one at FIRST. Every shard holds a BK-tree
+(children keyed by the integer Hamming distance to their parent), searched for all its members, following only edges within the
+radius. Trees grow with the data, so shards are brought to their queries by the shuffle instead of a broadcast. This pass joins
+most of what is near, and great clusters without all their pairs, but misses pairs by chance.
+
+The second pass is exact and leaves out no pair within the radius whose fingerprints the first one didn't connect. Every two parts of
+the fingerprints meet in a tile. There the bits are split into blocks with an allowance each, and allowances plus one add up to
+the radius plus one: two fingerprints within the radius are within the allowance in at least one block (pigeonhole), so only those are compared.
 
 On few words a vote says little: one changed word of seven moves the fingerprint by 50 bits or more. Texts of at most FEW
 distinct words are therefore compared by their sets of words as well, exactly, at the Jaccard that RADIUS stands for.
@@ -31,8 +36,16 @@ RADIUS = 44
 #: Distinct words of a text that is also compared by its set of words: all that can be near a text of fewer than ten. The least
 #: Jaccard is 3/4: RADIUS bits of BITS are the angle of texts that share 0.86 of their words.
 FEW = 12
-#: Chance that two fingerprints exactly at the radius share a shard, at least, whatever their number; nearer ones have a better one.
+#: Chance that two fingerprints exactly at the radius share a shard, at least, by default of `tables_for`; nearer ones have a better one.
 RECALL = 0.9
+#: The same chance in the first pass. It shifts work between the passes and changes no result.
+FIRST = 0.5
+#: Fingerprints of a part, at most, and the number under which a part isn't split to occupy all cores.
+PART, PART_LEAST = 250_000, 20_000
+#: Tiles are dealt to so many tasks, at most.
+TASKS = 10_000
+#: Candidates that are compared at a time.
+MOST = 1 << 18
 #: Shards of more fingerprints are explored by components instead of by all pairs.
 LARGE = 128
 #: Shards are sized to hold about so many unrelated fingerprints.
@@ -221,15 +234,205 @@ def tables_for(bits: int, radius: int = RADIUS, recall: float = RECALL) -> int:
     return math.ceil(math.log1p(-recall) / math.log1p(-meet)) if 0 < meet < 1 else 1
 
 
+def blocks(n: int, radius: int) -> list[tuple[int, int]]:
+    """Width and allowance of each block; of the numbers of blocks the one at which n fingerprints cost least against as many others."""
+    found = []
+    for m in range(12, 33):
+        width = [BITS // m + (t < BITS % m) for t in range(m)]
+        allow = [(radius + 1) // m - 1 + (t < (radius + 1) % m) for t in range(m)]
+        ball = [sum(math.comb(w, i) for i in range(min(r, w) + 1)) for w, r in zip(width, allow)]
+        found.append((sum(x * (1 + 2 * n / 2**w) for x, w in zip(ball, width)), list(zip(width, allow))))
+    return min(found)[1]
+
+
+class Block:
+    """Codes in the order of their values on some bits and their labels; runs of one value and label are one item if that saves work."""
+
+    def __init__(self, codes: np.ndarray, label: np.ndarray, bits: np.ndarray):
+        raw = codes.view(np.uint8).reshape(-1, 32)
+        value = np.zeros(len(codes), np.int64)
+        for j in bits.tolist():
+            value = value * 2 + (raw[:, j // 8] >> (j % 8) & 1)
+        self.order = np.lexsort((label, value))
+        value, label, at = value[self.order], label[self.order], np.arange(len(codes))
+        self.words = [np.ascontiguousarray(codes[self.order, w]) for w in range(4)]
+        start = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (label[1:] != label[:-1])])
+        size = np.diff(np.r_[start, len(at)])
+        self.plain = (size * size).sum() <= 4 * len(at)
+        # runs are cut at 1024, so that two of them have at most 2 ** 20 pairs
+        self.start = at if self.plain else np.flatnonzero((at - np.repeat(start, size)) % 1024 == 0)
+        self.size = np.diff(np.r_[self.start, len(at)])
+        self.value, self.label, self.code_label = value[self.start], label[self.start], label
+        self.first = np.r_[0, np.cumsum(np.bincount(self.value, minlength=1 << len(bits)))]
+
+
+def _ramp(n: np.ndarray) -> np.ndarray:
+    """0 to n[0] - 1, 0 to n[1] - 1 and so on."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _cuts(work: np.ndarray):
+    """Slices of about MOST work."""
+    total = np.cumsum(work)
+    a = 0
+    while a < len(work):
+        b = max(a + 1, int(np.searchsorted(total, total[a] - work[a] + MOST, "right")))
+        yield slice(a, b)
+        a = b
+
+
+def block_pairs(a: Block, b: Block, width: int, allow: int, radius: int):
+    """Pairs (row of a, row of b) within the radius, of different labels and within the allowance in the block; if a is b, each pair once."""
+    every = np.arange(len(a.value))
+    for flips in range(min(allow, width) + 1):
+        for bits in itertools.combinations(range(width), flips):
+            if a is b and not flips:
+                item, lo = every, every + 1
+                n = a.first[a.value + 1] - lo
+            else:
+                item = np.flatnonzero(a.value & (1 << bits[-1]) == 0) if a is b else every
+                value = a.value[item] ^ sum(1 << j for j in bits)
+                lo = b.first[value]
+                n = b.first[value + 1] - lo
+            some = np.flatnonzero(n)
+            item, lo, n = item[some], lo[some], n[some]
+            for s in _cuts(n):
+                i = np.repeat(item[s], n[s])
+                j = np.repeat(lo[s], n[s]) + _ramp(n[s])
+                if a.plain and b.plain:
+                    yield _near(a, b, i, j, radius)
+                    continue
+                other = a.label[i] != b.label[j]
+                i, j = i[other], j[other]
+                for t in _cuts(k := a.size[i] * b.size[j]):
+                    r, w = _ramp(k[t]), np.repeat(b.size[j[t]], k[t])
+                    yield _near(a, b, np.repeat(a.start[i[t]], k[t]) + r // w, np.repeat(b.start[j[t]], k[t]) + r % w, radius)
+
+
+def _near(a: Block, b: Block, i: np.ndarray, j: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    d = np.zeros(len(i), np.int16)
+    for w in range(4):
+        d = d + np.bitwise_count(a.words[w][i] ^ b.words[w][j])
+        if w % 2:
+            hit = np.flatnonzero(d <= radius)
+            i, j, d = i[hit], j[hit], d[hit]
+    hit = a.code_label[i] != b.code_label[j]
+    return a.order[i[hit]], b.order[j[hit]]
+
+
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The labels (from 0), those that the pairs a, b of labels connect made one."""
+    root = np.arange(label.max(initial=-1) + 1)
+    while (apart := root[a] != root[b]).any():
+        x, y = root[a[apart]], root[b[apart]]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return root[label]
+
+
+def _one_each(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of the pairs i, j one for each two labels that differ."""
+    x, y = label[i], label[j]
+    i, j, key = (z[x != y] for z in (i, j, np.minimum(x, y) * len(label) + np.maximum(x, y)))
+    _, first = np.unique(key, return_index=True)
+    return np.stack([i[first], j[first]])
+
+
+def rest_edges(codes: np.ndarray, label: np.ndarray, radius: int, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows within the radius that, with the labels, connect all pairs within it: of rows before split with the others, or of all.
+
+    codes are distinct; rows of one label count as connected. What a block connects is one label in the next.
+    """
+    label = np.unique(label, return_inverse=True)[1]
+    bits = np.random.default_rng(20240229).permutation(BITS)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    one, two = (slice(None), None) if split is None else (slice(split), slice(split, None))
+    if not len(codes[one]) or two and not len(codes[two]):
+        return left[0], right[0]
+    at = 0
+    for width, allow in blocks(len(codes) if two is None else max(split, len(codes) - split), radius):
+        if allow >= 0:
+            a = Block(codes[one], label[one], bits[at : at + width])
+            b = Block(codes[two], label[two], bits[at : at + width]) if two else a
+            found = [np.zeros((2, 0), np.int64)]
+            for i, j in itertools.chain(block_pairs(a, b, width, allow, radius), [(None, None)]):
+                if i is not None and len(i):
+                    found.append(_one_each(label, i, j + (split or 0)))
+                if i is None or sum(x.shape[1] for x in found) > 16 * MOST:
+                    i, j = _one_each(label, *np.concatenate(found, axis=1))
+                    left.append(i)
+                    right.append(j)
+                    label, found = merged(label, label[i], label[j]), [np.zeros((2, 0), np.int64)]
+        at += width
+    return np.concatenate(left), np.concatenate(right)
+
+
+def missed_edges(codes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+    """a, b: ids of codes within the radius that connect, with the roots, all pairs of codes within the radius.
+
+    codes: id, code (32 bytes), root (equal for codes known to be connected); n: how many. Parts of at most about PART
+    codes meet two by two, each pair of parts in one task; the shuffle carries each code once for each part.
+    """
+    cores = codes.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, math.ceil(n / PART), min(math.ceil(n / PART_LEAST), math.ceil(math.sqrt(6 * cores))))
+    tiles = parts * (parts + 1) // 2
+
+    def solve(batches):
+        kept: list[pa.RecordBatch] = []
+
+        def solved():
+            table = pa.Table.from_batches(kept)
+            kept.clear()
+            side = table.column("side").to_numpy()
+            table = table.take(pa.array(np.argsort(side, kind="stable"))).combine_chunks()
+            ids, root = table.column("id").to_numpy(), table.column("root").to_numpy()
+            raw = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint64).reshape(-1, 4)
+            a, b = rest_edges(raw, root, radius, int((side == 1).sum()) if side.any() else None)
+            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+
+        last = None
+        for batch in batches:
+            tile = batch.column("tile").to_numpy()
+            start = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]) if len(tile) else ()
+            for s, e in zip(start, [*start[1:], len(tile)]):
+                if kept and tile[s] != last:
+                    yield solved()
+                last = tile[s]
+                kept.append(batch.slice(s, e - s))
+        if kept:
+            yield solved()
+
+    met = codes.select("id", "code", "root", F.expr(f"pmod(xxhash64(id), {parts})").alias("p"))
+    met = met.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
+    met = met.withColumn("lo", F.least("p", "q")).withColumn("hi", F.greatest("p", "q"))
+    tile = F.expr(f"lo * ({2 * parts + 1} - lo) div 2 + hi - lo").alias("tile")
+    side = F.expr("case when p = q then 0 when p < q then 1 else 2 end").alias("side")
+    met = met.select(tile, side, "id", "code", "root")
+    tasks = min(tiles, TASKS)
+    met = met.repartitionById(tasks, F.expr(f"cast(tile % {tasks} as int)"))
+    return met.sortWithinPartitions("tile").mapInArrow(solve, "a bigint, b bigint")
+
+
 def near_edges(codes: DataFrame, n: int, radius: int = RADIUS, tables: int | None = None, bits: int | None = None) -> DataFrame:
+    """a, b: pairs of ids that connect exactly what chains of steps within the radius connect.
+
+    codes: id (bigint), code (32 bytes), all distinct; n: how many. tables and bits are those of the first pass and change no result.
+    """
+    linked = components(shard_edges(codes, n, radius, tables, bits))
+    rest = codes.select("id", "code").join(linked, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return linked.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(missed_edges(rest, n, radius))
+
+
+def shard_edges(codes: DataFrame, n: int, radius: int = RADIUS, tables: int | None = None, bits: int | None = None) -> DataFrame:
     """a, b: ids of codes that are within the radius, enough of them to connect whatever a shard connects.
 
     codes: id (bigint), code (32 bytes), all distinct; n: how many. bits is by default the number that leaves about
-    SHARD unrelated codes in a shard, and tables the one that keeps RECALL at these bits, so that the work follows n
+    SHARD unrelated codes in a shard, and tables the one that keeps FIRST at these bits, so that the work follows n
     and, with the tables, about its power of 1.3.
     """
     bits = bits or max(14, math.ceil(math.log2(max(n, 1) / SHARD)))
-    tables = tables or tables_for(bits, radius)
+    tables = tables or tables_for(bits, radius, FIRST)
     which = picks(tables, bits)
 
     def deal(batches):

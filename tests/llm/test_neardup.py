@@ -131,6 +131,81 @@ def test_recall_at_the_radius_holds_with_more_bits(spark):
         assert 1 - (1 - meet) ** N.tables_for(bits) >= 0.9
 
 
+def roots_of(n, pairs):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(int(a)), find(int(b))))
+        root[b] = a
+    return [find(i) for i in range(n)]
+
+
+def flipped(rng, codes, least, most):
+    out = codes.copy()
+    for c in out:
+        for b in rng.permutation(256)[: rng.integers(least, most + 1)]:
+            c[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    return out
+
+
+def test_no_pair_at_the_radius_is_left_out(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    one = rng.integers(0, 2**63, (400, 4)).astype(np.uint64)
+    codes = np.concatenate([one, flipped(rng, one, N.RADIUS, N.RADIUS), flipped(rng, one, N.RADIUS + 1, N.RADIUS + 1)])
+    rows = spark.createDataFrame([(i, bytearray(c.tobytes())) for i, c in enumerate(codes)], "id bigint, code binary")
+    want = roots_of(len(codes), ((i, j) for i in range(len(codes)) for j in np.flatnonzero(N.distance(codes[:i], codes[i]) <= N.RADIUS)))
+    assert len(set(want)) == 800
+    for least in (20_000, 200):  # one part, and parts that meet in tiles
+        monkeypatch.setattr(N, "PART_LEAST", least)
+        for tasks in (10_000, 5):
+            monkeypatch.setattr(N, "TASKS", tasks)
+            assert roots_of(len(codes), ((r.a, r.b) for r in N.near_edges(rows, len(codes)).collect())) == want
+    assert roots_of(len(codes), ((r.a, r.b) for r in N.near_edges(rows, len(codes), tables=1, bits=40).collect())) == want
+
+
+def test_groups_are_those_of_all_pairs(spark):
+    rng = random.Random(31)
+    texts = []
+    for i in range(150):  # copies with a tenth of the words changed lie about the radius
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 200))]
+        texts.append((2 * i, " ".join(w)))
+        for k in rng.sample(range(len(w)), len(w) // 9):
+            w[k] = f"v{rng.randrange(10**6)}"
+        texts.append((2 * i + 1, " ".join(w)))
+    roots, pairs = by_force(texts)
+    got = {r.doc_id: r.group_id for r in N.groups(frame(spark, texts)).collect()}
+    assert 40 < len(pairs) < 150 and [got[i] for i in range(len(texts))] == roots
+
+
+def test_exact_search_of_clusters_and_parts(monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, (5, 4)).astype(np.uint64)
+    codes = flipped(rng, np.repeat(base, [1300, 500, 20, 20, 20], 0), 8, 18)
+    codes = np.unique(codes, axis=0)
+    codes = codes[rng.permutation(len(codes))]
+    pairs = [(i, int(j)) for i in range(len(codes)) for j in np.flatnonzero(N.distance(codes[:i], codes[i]) <= 27)]
+    plain = set()
+    for most, known in ((1 << 18, 0), (1 << 18, 0.02), (50, 0.5), (1 << 18, 1)):
+        monkeypatch.setattr(N, "MOST", most)
+        have = [p for p in pairs if rng.random() < known]
+        label = np.array(roots_of(len(codes), have))
+        plain.add(bool(N.Block(codes, label, np.arange(17)).plain))
+        for split in (None, 0, 700, len(codes)):
+            a, b = N.rest_edges(codes, label, 27, split)
+            assert (N.distance(codes[a], codes[b]) <= 27).all() and (label[a] != label[b]).all()
+            met = pairs if split is None else [(x, y) for x, y in pairs if y < split <= x]
+            assert roots_of(len(codes), [*have, *zip(a, b)]) == roots_of(len(codes), have + met)
+    assert plain == {True, False}
+    for n, radius in ((10, 44), (10**5, 44), (10**6, 44), (100, 3), (100, 0)):  # the pigeonhole's sums
+        found = N.blocks(n, radius)
+        assert sum(w for w, _ in found) == 256 and sum(r + 1 for _, r in found) == radius + 1
+
+
 def test_texts_of_few_words_are_searched(spark):
     rng = random.Random(23)
     words = [f"w{i}" for i in range(40)]

@@ -117,6 +117,24 @@ def test_each_stage_against_brute_force(spark, tables):
         assert b[0][0] == 0 and all(x + n == y for (x, n), (y, _) in zip(b, b[1:])) and sum(n for _, n in b) <= 8192
 
 
+def test_no_near_copy_at_the_radius_is_kept(spark):
+    rng = random.Random(41)
+    texts = []
+    for _ in range(200):  # copies with a ninth of the words changed lie about the radius
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 200))]
+        texts.append(" ".join(w))
+        for k in rng.sample(range(len(w)), len(w) // 9):
+            w[k] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    code, _, _ = neardup.simhash(*word_hashes(strings(pa.array(texts))))
+    d = np.stack([neardup.distance(code, c) for c in code])
+    near = {(i, j) for i, j in np.argwhere(d <= neardup.RADIUS).tolist() if i < j}
+    assert 100 < len(near) < 200 and all(i % 2 == 0 and j == i + 1 for i, j in near)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "x", "y", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = C.keep_one_copy(spark, docs, "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(range(len(texts))) - {j for _, j in near})
+
+
 def test_whole_run_and_empty_tables(spark, tables, tmp_path):
     got = C.run(spark, tables)
     assert got.columns == ["doc_id", "piece", "start", "length", "bin_id", "bin_offset"]

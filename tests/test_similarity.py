@@ -62,3 +62,27 @@ def test_rounds_of_candidates_lose_nothing(monkeypatch):
     a = setjoin.Sets(np.arange(len(sets)), n, np.array([r for s in sets for r in sorted(map(rank.get, s))], np.int32))
     got = [tuple(sorted((int(i), int(j)))) for i, j, _ in zip(*setjoin.pairs(a, None, 0.4))]
     assert sorted(got) == sorted((i, j) for i, j in nested(sets, sets, 0.4) if i < j)
+
+
+@pytest.mark.parametrize("t", (0.3, 0.55, 1.0))
+def test_lookup_finds_what_the_join_finds(spark, t):
+    texts, others = ([" ".join(s).upper() + ", a" for s in some_sets(n, 25, 12, seed)] for n, seed in ((80, 4), (25, 6)))
+    claims = spark.createDataFrame([*enumerate([*texts, ""]), (99, None)], "n int, text string")
+    other = spark.createDataFrame([(x,) for x in others], "text string")
+    sets = [[set(x.lower().replace(",", "").split()) - {"a"} for x in xs] for xs in (texts, others)]
+    want = {i for i, x in enumerate(sets[0]) if any(x and y and jaccard(x, y) >= t for y in sets[1])}
+    for lookup in (None, True, False):
+        got = similarity.near_duplicates(claims, other, t, lookup).collect()
+        assert len(got) == 82 and {r.n for r in got if r.likely_duplicate} == want
+    assert not any(r.likely_duplicate for r in similarity.near_duplicates(claims, other.limit(0), t).collect())
+
+
+def test_long_lines_are_not_repeated_for_each_of_their_words(spark):
+    """A line's words went along with each of them, so that what was shuffled grew as the square of a line's length."""
+    took = []
+    for n in (200, 1600):
+        lines = spark.createDataFrame([(f"v{i}", " ".join(f"w{(i * 7 + k * 13) % 9973}" for k in range(n))) for i in range(60)], "video_id string, text string")
+        before = written(spark)
+        assert similarity.duplicate_report(lines, lines.limit(3)).count() == 60
+        took.append(written(spark) - before)
+    assert took[1] < 12 * took[0]

@@ -18,7 +18,7 @@ def documents(spark, folder, texts):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ("claim_tokens",))
+@pytest.mark.parametrize("name", ("claim_tokens", "token_df_topk"))
 def test_work_on_a_line_grows_with_its_length(spark, tmp_path, name):
     """Each token was sought in the whole line."""
     took = []
@@ -61,3 +61,14 @@ def test_terms_are_the_plain_loop(spark):
     df = spark.createDataFrame(list(zip(range(len(texts)), texts, kinds)), "i int, text string, kind string")
     got = df.select("i", tx.terms(F.col("text"), F.col("kind"), "tokens", "canonical", "token_set", "group_key").alias("t")).orderBy("i").collect()
     assert [tuple(r.t) for r in got] == [want(*x) for x in zip(texts, kinds)]
+
+
+def test_counts_of_lines(spark, monkeypatch):
+    from claimloom.functions import terms
+
+    monkeypatch.setattr(terms, "MOST", 3)
+    rng = random.Random(6)
+    lines = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "omega", "the"], k=rng.randint(0, 6))) for _ in range(80)] + [None, ""]
+    want = Counter(t for x in lines for t in set((x or "").split()) - {"the"})
+    got = terms.line_counts(spark.createDataFrame([(x,) for x in lines], "text string")).collect()
+    assert {r.token: r.df for r in got} == want

@@ -72,3 +72,15 @@ def test_counts_of_lines(spark, monkeypatch):
     want = Counter(t for x in lines for t in set((x or "").split()) - {"the"})
     got = terms.line_counts(spark.createDataFrame([(x,) for x in lines], "text string")).collect()
     assert {r.token: r.df for r in got} == want
+
+
+def test_markers_are_the_plain_search(spark):
+    lists = {"low": ["water", "물", "a b"], "cased": ["XAI", "ai", "PC"]}
+    texts = ["XAI and Water", "xai a  b a b", "pc PC 물", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", lx.hits(F.col("text"), lists).alias("h"), lx.best(F.col("text"), "content").alias("b")).orderBy("i")
+    for r, text in zip(df.collect(), texts):
+        t = text or ""
+        assert r.h.asDict() == {k: [m for m in items if m in t or m in t.lower()] for k, items in lists.items()}
+        found = [(label, [m for m in lx.markers("content", label) if m in t or m in t.lower()]) for label in lx.labels("content")]
+        label, hits = max(found, key=lambda x: len(x[1]))
+        assert (r.b.n, r.b.label, r.b.hits) == (len(hits), label, hits)

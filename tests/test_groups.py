@@ -25,6 +25,13 @@ def test_pairs_in_memory_and_by_joins_are_the_nested_loop(spark, method, local,
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_equal_sets_are_the_greedy_loop_at_one(spark):
+    rows, want = topics(12, 2, "abc", 2), {}
+    for t in {r[0] for r in rows}:
+        want |= greedy([(r[1], set(r[3])) for r in rows if r[0] == t], jaccard, 1.0, True)
+    assert {r.claim_uid: r.cluster for r in cluster.clusters(spark.createDataFrame(rows, CLAIM), "token_jaccard", 1.0).collect()} == want
+
+
 @pytest.mark.parametrize("method", ("normalized", "token_jaccard"))
 def test_mean_scores_are_those_of_all_pairs(spark, method):
     rows = [(*r, f"k{i % 3}") for i, r in enumerate(topics(10, 3, "abcd", 3))]
@@ -35,3 +42,16 @@ def test_mean_scores_are_those_of_all_pairs(spark, method):
     want = {g: [score(a, b) for i, a in enumerate(x) for b in x[i + 1 :]] for g, x in groups.items()}
     got = {(r.topic_id, r.cluster): r.grouping_score for r in terrain.mean_scores(spark.createDataFrame(rows, CLAIM + ", cluster string"), method).collect()}
     assert got.keys() == want.keys() and all(abs(got[g] - (sum(x) / len(x) if x else 1.0)) < 1e-4 for g, x in want.items())
+
+
+def test_equal_claims_form_no_pairs(spark):
+    """All pairs of a topic's equal claims were joined on each of their tokens, to be clustered and once more for their mean."""
+    took = []
+    for n in (200, 1600):
+        df = spark.createDataFrame([("t", f"c{i:05}", i, list("abcdefghij")) for i in range(n)], CLAIM)
+        df = df.localCheckpoint()
+        before = written(spark)
+        rows = terrain.members(df, cluster.clusters(df, "token_jaccard", 1.0))
+        assert [r.grouping_score for r in terrain.mean_scores(rows, "token_jaccard").collect()] == [1.0]
+        took.append(written(spark) - before)
+    assert took[1] < 16 * took[0]
